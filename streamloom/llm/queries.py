@@ -1,6 +1,9 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from streamloom.llm.chat import op4_chat_format
+from streamloom.llm.mixing import op3_mix
 from streamloom.llm.quality import OP8_SQL, op8_quality_rules
+from streamloom.llm.shards import op7_shard
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+QUERIES = {f.__name__: f for f in (op3_mix, op4_chat_format, op7_shard, op8_quality_rules)}
 SQL = {"op8_quality_rules": OP8_SQL}
