@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
 from streamloom.llm.chat import op4_chat_format
+from streamloom.llm.language import op5_language
 from streamloom.llm.mixing import op3_mix
 from streamloom.llm.packing import op1_pack
 from streamloom.llm.quality import OP8_SQL, op8_quality_rules
 from streamloom.llm.shards import op7_shard
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_mix, op4_chat_format, op7_shard, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pack, op3_mix, op4_chat_format, op5_language, op7_shard, op8_quality_rules)}
 SQL = {"op8_quality_rules": OP8_SQL}
