@@ -34,7 +34,14 @@ class Staged:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # the shuffle files of this write go when it ends: nothing reads them again
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(key) if was is None else self.spark.conf.set(key, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
