@@ -2,6 +2,7 @@
 
 from streamloom.llm.chat import op4_chat_format
 from streamloom.llm.language import op5_language
+from streamloom.llm.minhash import op10_minhash
 from streamloom.llm.mixing import op3_mix
 from streamloom.llm.packing import op1_pack
 from streamloom.llm.quality import OP8_SQL, op8_quality_rules
@@ -9,5 +10,5 @@ from streamloom.llm.shards import op7_shard
 from streamloom.llm.substrings import op2_substring_dedup
 from streamloom.llm.suffixes import op6_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_substring_dedup, op3_mix, op4_chat_format, op5_language, op6_suffix_dedup, op7_shard, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_substring_dedup, op3_mix, op4_chat_format, op5_language, op6_suffix_dedup, op7_shard, op8_quality_rules, op10_minhash)}
 SQL = {"op8_quality_rules": OP8_SQL}

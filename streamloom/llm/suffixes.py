@@ -25,10 +25,11 @@ from streamloom.llm.windows import Kind, covered_tokens, keyed, repeated_windows
 LENGTH, SAMPLE = 100, 20
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (removed runs: start, length), kept (the bytes that stay)."""
+def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (removed runs: start, length), kept (the bytes that stay; with decode the
+    characters that stay whole), and the columns of keep."""
     staged = Staged(docs.sparkSession, "suffixes")
-    rows = keyed(docs)
+    rows = keyed(docs, keep)
     repeats = repeated_windows(rows.select("id", "text"), Kind("bytes", LENGTH, SAMPLE), True, staged)
 
     def run(batches):
@@ -42,11 +43,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 total.append(len(data))
                 removed.append(int(gone.sum()))
                 spans.append([{"start": s, "length": e - s} for s, e in zip(start.tolist(), end.tolist())])
-                kept.append(data[~gone].tobytes())
+                rest = data[~gone].tobytes()
+                kept.append(rest.decode(errors="ignore") if decode else rest)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string() if decode else pa.binary()), *(b.column(f"__keep_{c}") for c in keep)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *keep])
 
-    return with_repeats(rows, repeats).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,length:bigint>>, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,length:bigint>>, kept " + ("string" if decode else "binary")
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return with_repeats(rows, repeats).select("doc_id", "text", "runs", *[f"__keep_{c}" for c in keep]).mapInArrow(run, schema)
 
 
 def op6_suffix_dedup(spark, sf_dir):

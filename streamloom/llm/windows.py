@@ -287,9 +287,9 @@ def repeated_windows(docs: DataFrame, kind: Kind, within: bool, staged: Staged,
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """id (null sorts first) and text (null is empty)."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id (null sorts first), text (null is empty), and the columns of keep under other names."""
+    return docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
 def with_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
