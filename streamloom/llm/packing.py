@@ -35,20 +35,50 @@ from streamloom.llm.common import Staged, table, text_or_empty
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 PLAIN = re.compile(r"[!-~]+")
 BLANK = re.compile(r"[ \n\t\r]+")
-CACHE_LIMIT = 400_000
+WORD_LIMIT, PART_LIMIT = 500_000, 1_000_000
 
 
-class Encoder:
-    """Token ids of texts, word by word: a word between blanks has the same ids alone as within its text.
+class Parts(dict):
+    """Ids (as bytes) of the pieces that a word is cut into before merging."""
 
-    Words that were seen keep their ids (up to CACHE_LIMIT of them, then the memory starts anew).
-    """
+    def __init__(self, model, unit):
+        super().__init__()
+        self.model, self.unit = model, unit
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= PART_LIMIT:
+            self.clear()
+        ids = self[part] = np.array([t.id for t in self.model.tokenize(part)], self.unit).tobytes()
+        return ids
+
+
+class Words(dict):
+    """Ids (as bytes) of words: a word between blanks has the same ids alone as within its text."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.unit = tokenizer, np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.parts = Parts(tokenizer.model, self.unit)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORD_LIMIT:
+            self.clear()
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            ids = b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.unit).tobytes()
+        self[word] = ids
+        return ids
+
+
+class Encoder:
+    """Token ids of texts, word by word. Words that were seen keep their ids, up to a limit, then the memory starts anew."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.words, self.parts = self.tokenizer.model, {}, {}
+        self.words = Words(self.tokenizer)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -58,29 +88,9 @@ class Encoder:
             kept.encoder, kept.encoder_path = cls(path), path
         return kept.encoder
 
-    def word(self, w: str) -> list[int]:
-        if not PLAIN.fullmatch(w) or "<|" in w:
-            return self.tokenizer.encode(w, add_special_tokens=False).ids
-        out = []
-        for p in PRETOKEN.findall(w.lower()):
-            ids = self.parts.get(p)
-            if ids is None:
-                ids = self.parts[p] = [t.id for t in self.model.tokenize(p)]
-            out += ids
-        return out
-
     def encode(self, text: str) -> np.ndarray:
-        known = self.words
-        out: list[int] = []
-        for w in BLANK.split(text):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= CACHE_LIMIT:
-                    known.clear()
-                    self.parts.clear()
-                ids = known[w] = self.word(w)
-            out += ids
-        return np.array(out, np.uint32)
+        words = self.words
+        return np.frombuffer(b"".join(map(words.__getitem__, BLANK.split(text))), words.unit).astype(np.uint32)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
