@@ -9,6 +9,7 @@ from streamloom.llm.quality import OP8_SQL, op8_quality_rules
 from streamloom.llm.shards import op7_shard
 from streamloom.llm.substrings import op2_substring_dedup
 from streamloom.llm.suffixes import op6_suffix_dedup
+from streamloom.llm.vectors import op9_near_vectors
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_substring_dedup, op3_mix, op4_chat_format, op5_language, op6_suffix_dedup, op7_shard, op8_quality_rules, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_substring_dedup, op3_mix, op4_chat_format, op5_language, op6_suffix_dedup, op7_shard, op8_quality_rules, op9_near_vectors, op10_minhash)}
 SQL = {"op8_quality_rules": OP8_SQL}
