@@ -16,10 +16,18 @@ from streamloom.llm.packing import pack
 from streamloom.llm.suffixes import suffix_dedup
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with a copy of each column under a name of its own, so that no operator's column can clash with it; and those names."""
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select("doc_id", "text", "lang", "source", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go; a missing label is filled in."""
-    judged = identify(docs, fit(docs), keep=tuple(docs.columns)).where("NOT rejected")
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    wide, names = set_aside(docs)
+    judged = identify(wide, fit(docs), keep=tuple(names.values())).where("NOT rejected")
+    own = {**names, "lang": None}
+    return judged.select(*[F.col(n).alias(c) if n else F.coalesce(names["lang"], "lang_pred").alias("lang") for c, n in own.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +37,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated strings go; characters that lose a byte go as a whole, and so do documents that lose everything."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = suffix_dedup(docs, keep=rest, decode=True).withColumn("text", F.col("kept"))
-    out = out.where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    wide, names = set_aside(docs)
+    out = suffix_dedup(wide, keep=tuple(n for c, n in names.items() if c != "text"), decode=True).where(F.trim("kept") != "")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of the mixture; sources below their weight come again."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mix(docs, keep=rest)
-    return mixed.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset").select(*docs.columns)
+    wide, names = set_aside(docs)
+    mixed = mix(wide, keep=tuple(names.values()))
+    return mixed.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

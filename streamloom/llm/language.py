@@ -98,6 +98,8 @@ class Models:
     def __init__(self, texts: dict[str, list[str]]):
         self.names = sorted(texts)
         n_lang = len(self.names)
+        if not n_lang:
+            return
         levels = {k: [] for k in range(1, ORDER + 1)}
         for name in self.names:
             rows, counts = grams_of(texts[name])
@@ -105,10 +107,9 @@ class Models:
                 levels[k].append((rows, counts))
                 if k > 1:
                     rows, counts = suffixes(rows)
-        letters = np.unique(np.concatenate([r[:, 0] for r, _ in levels[1]])) if n_lang else np.zeros(0)
+        letters = np.unique(np.concatenate([r[:, 0] for r, _ in levels[1]]))
         lower_p, lower_keys = None, None
         self.grams, self.logs, self.contexts, self.backs = {}, {}, {}, {}
-        self.floor = np.zeros(n_lang)
         for k in range(1, ORDER + 1):
             rows = np.concatenate([r for r, _ in levels[k]])
             keys, index = np.unique(row_hashes(rows), return_index=True)
@@ -132,7 +133,7 @@ class Models:
             self.contexts[k], self.backs[k] = context_keys, np.log(back).astype(np.float32)
             lower_p, lower_keys = p, keys
             if k == 1:
-                self.floor = np.log(back[0] / (len(letters) + 1)) if len(back) else self.floor
+                self.floor = np.log(back[0] / (len(letters) + 1))
 
     def place_logs(self, codes: np.ndarray) -> np.ndarray:
         """Log probabilities of the code points at places ORDER - 1, ... given those before, a column for each language."""
@@ -215,7 +216,7 @@ class Detector:
         return lang, score, entropy, out
 
 
-def held_out() :
+def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 

@@ -257,16 +257,18 @@ def audit(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -> tuple
     found = pairs.join(asked, "a").count()
     queries = nodes.join(asked, F.col("node") == F.col("a")).select("node", "v")
     there = 0
-    for block in range(0, queries.count(), 2000):  # a stated query set against all rows, a block at a time
-        part = queries.orderBy("node").offset(block).limit(2000).toArrow()
-        q, ids = matrix(part.column("v")), part.column("node").to_numpy()
-
-        def count(batches, q=q, ids=ids):
-            for b in batches:
-                near = matrix(b.column("v")) @ q.T >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array([int((near & (b.column("node").to_numpy()[:, None] != ids)).sum())])], names=["n"])
-
-        there += nodes.select("node", "v").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    for dim, n in [(r["dim"], r["count"]) for r in queries.groupBy(F.size("v").alias("dim")).count().collect()]:
+        own, all_own = (x.where(F.size("v") == dim).select("node", "v") for x in (queries, nodes))
+        for block in range(0, n, 2000):  # a stated query set against all rows, a block at a time
+            part = own.orderBy("node").offset(block).limit(2000).toArrow()
+            q, ids = matrix(part.column("v")), part.column("node").to_numpy()
+
+            def count(batches, q=q, ids=ids):
+                for b in batches:
+                    near = matrix(b.column("v")) @ q.T >= threshold
+                    yield pa.RecordBatch.from_arrays([pa.array([int((near & (b.column("node").to_numpy()[:, None] != ids)).sum())])], names=["n"])
+
+            there += all_own.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
     return found, there
 
 

@@ -218,11 +218,11 @@ def window_names(b, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def later(name: np.ndarray, ids: np.ndarray, place: np.ndarray, within: bool) -> np.ndarray:
     """Which windows have an earlier one of the same name: in a smaller document, or (within) also earlier in their own."""
     order = np.lexsort((place, ids, name))
-    s_name, s_id = name[order], ids[order]
+    s_name, s_id, s_place = name[order], ids[order], place[order]
     head = np.concatenate([[True], s_name[1:] != s_name[:-1]])
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     out = np.empty(len(name), bool)
-    out[order] = (np.arange(len(order)) > first) if within else (s_id > s_id[first])
+    out[order] = (s_id > s_id[first]) | (within & (s_place > s_place[first]) & (s_id == s_id[first]))
     return out
 
 
