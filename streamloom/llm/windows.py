@@ -10,8 +10,8 @@ so all but the first are covered as a whole. Contexts that differ but share the
 their texts are cut out once more, windows are named, and the least place under each name wins.
 
 Skew. Occurrences are counted with partial sums and joined back by sort-merge join, whose skewed partitions Spark splits.
-Anchors with more than `hot` occurrences are compared by window name across the cluster (partial minimum, then a join);
-all others in buckets of anchors, whose groups have at most `hot` rows.
+Anchors with more than `hot` different contexts are compared by window name across the cluster (partial minimum, then a
+join); all others in buckets of anchors, whose groups have at most `hot` contexts.
 """
 
 from __future__ import annotations
@@ -259,18 +259,18 @@ def compare_by_name(contexts: DataFrame, kind: Kind, within: bool) -> DataFrame:
     return joined.where(after).select("id", "lo", F.lit(1).cast("int").alias("n"))
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, within: bool, staged: Staged, hot: int = 256) -> DataFrame:
+def repeated_windows(docs: DataFrame, kind: Kind, within: bool, staged: Staged, hot: int = 2048) -> DataFrame:
     """id, lo, n: runs of windows that also start earlier. docs: id (long, not null), text (not null)."""
     spark = docs.sparkSession
     rows = anchor_rows(docs, kind)
-    often = staged.write(rows.groupBy("ah").agg(F.count("*").alias("times")).where("times > 1").select(F.col("ah").alias("often"), (F.col("times") > hot).alias("is_hot")), "often")
+    often = staged.write(rows.groupBy("ah").agg(F.count("*").alias("times")).where("times > 1").select(F.col("ah").alias("often")), "often")
     shared = staged.write(rows.join(often.hint("merge"), F.col("ah") == F.col("often")).drop("often"), "shared")
     staged.drop("often")
 
     classes = staged.write(shared.groupBy("ah", "ch").agg(F.min(F.struct("id", "lo")).alias("first")), "classes")
-    several = classes.groupBy(F.col("ah").alias("several")).agg(F.count("*").alias("c")).where("c > 1").select("several")
+    several = classes.groupBy(F.col("ah").alias("several")).agg(F.count("*").alias("c")).where("c > 1").select("several", (F.col("c") > hot).alias("is_hot"))
     classes = classes.join(several.hint("merge"), F.col("ah") == F.col("several"), "left")
-    classes = classes.select(F.col("ah").alias("c_ah"), F.col("ch").alias("c_ch"), "first", F.col("several").isNotNull().alias("compare"))
+    classes = classes.select(F.col("ah").alias("c_ah"), F.col("ch").alias("c_ch"), "first", "is_hot", F.col("several").isNotNull().alias("compare"))
     members = shared.join(classes.hint("merge"), (F.col("ah") == F.col("c_ah")) & (F.col("ch") == F.col("c_ch")))
     covered = F.struct("id", "lo") > F.col("first") if within else F.col("id") > F.col("first.id")
     judged = staged.write(members.select("ah", "id", "lo", "n", "is_hot", covered.alias("covered"), "compare").where("covered OR compare"), "judged")

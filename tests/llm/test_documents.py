@@ -45,7 +45,7 @@ def expected_words(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [2048, 1])
 def test_substring_dedup(messy, hot, monkeypatch):
     find = windows.repeated_windows
     monkeypatch.setattr(substrings, "repeated_windows", lambda *a: find(*a, hot=hot))
@@ -76,7 +76,7 @@ def expected_bytes(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [2048, 1])
 def test_suffix_dedup(messy, hot, monkeypatch):
     find = windows.repeated_windows
     monkeypatch.setattr(suffixes, "repeated_windows", lambda *a: find(*a, hot=hot))
