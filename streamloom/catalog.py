@@ -1,4 +1,6 @@
 """The queries of the encoding and profiling operators by name, with the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from streamloom.plans import encodings
+
+QUERIES = {**encodings.QUERIES}
+SQL = {**encodings.SQL}
