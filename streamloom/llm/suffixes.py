@@ -1,12 +1,16 @@
 """Suffix-array dedup of bytes: a byte goes if a string of `LENGTH` bytes that covers it also starts earlier.
 
-Only the order of suffixes up to LENGTH bytes matters here, and only which prefixes are equal. Sorting all suffixes would
-shuffle every byte many times over, so the sample is a sparse one; how it differs from the classic difference cover
-(places 1 and 2 modulo 3) and why is told in the README: sampled places are chosen by content (a synchronising set: equal
-strings of LENGTH bytes are sampled at equal distances, which is what a difference cover provides, at about one place in
-40), their names are hashes in place of ranks, and the sort of names leaves only places whose prefixes are equal to
-others'. The remaining suffixes are merged through the sampled place that their LENGTH bytes hold: they are named by the
-bytes before it and after it. Neighbours in the order with equal prefixes are repeats.
+The steps are those of the distributed difference-cover algorithm, cut off at the depth of LENGTH bytes:
+
+- sample places so that equal strings have sampled places at equal distances. A cover modulo 3 samples two places of three
+  and has to sort all of them; here the sample is chosen by content (a synchronising set: the anchors of windows.py),
+  about one place of 40;
+- name triples, and recurse on names: three names at distance 3^k make the name of 3^(k + 1) bytes (windows.triple_names).
+  Names are hashes in place of ranks, so a level needs no sort of its own;
+- sort sampled places by their names. Only places whose neighbours in this order have equal prefixes go on;
+- merge the remaining suffixes: each is placed through the sampled place within its first LENGTH bytes, by the bytes before
+  and after that;
+- compare neighbours: suffixes whose names of LENGTH bytes are equal repeat, and the first of them stays.
 
 Defined cases: null text is empty; null doc_id is smaller than all others; rows that share a doc_id are one document where
 strings are judged by place; texts of any length are cut into parts that overlap; an empty table gives an empty table.

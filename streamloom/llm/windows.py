@@ -4,7 +4,7 @@ Sampling. Of every W tokens in a row, one k-gram is the anchor: the least by has
 equal ones). The choice depends on the window's content alone, so equal windows have equal anchors at equal distances.
 Neighbouring windows share anchors: an anchor stands for a run of windows, and about one anchor is kept for W / 2 tokens.
 
-Naming. An anchor row carries the name (hash) of its k-gram and the name of its context, the tokens of all windows of its
+Naming. Windows are named by recursion over triples of names (triple_names). An anchor row carries the name (hash) of its k-gram and the name of its context, the tokens of all windows of its
 run. Rows are sorted by names: an anchor that occurs once starts no repeat. Rows with equal contexts have equal windows,
 so all but the first are covered as a whole. Contexts that differ but share the anchor are compared window by window:
 their texts are cut out once more, windows are named, and the least place under each name wins.
@@ -69,6 +69,26 @@ class Hashes:
         return mixed((self.sums[k:] - self.sums[:-k]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def triple_names(tokens: np.ndarray, length: int) -> np.ndarray:
+    """Name of the `length` tokens at each place, by recursion: triples of tokens get names, triples of names get names, and so on.
+
+    Names are hashes, so places are named without a sort and alike in every task. The last level's names cover the length
+    with two that overlap.
+    """
+    names, size, level = tokens, 1, np.uint64(1)
+    while 3 * size <= length:
+        n = len(names) - 2 * size
+        if n < 1:
+            return np.zeros(0, np.uint64)
+        names = mixed((names[:n] * np.uint64(BASE) + names[size : size + n]) * np.uint64(BASE) + names[2 * size : 2 * size + n] + level)
+        size, level = 3 * size, level + np.uint64(1)
+    n = len(tokens) - length + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    middle, last = names[: n + length - size][size : size + n] if 2 * size < length else names[:n], names[length - size : length - size + n]
+    return mixed((names[:n] * np.uint64(BASE) + middle) * np.uint64(BASE) + last)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x) - w + 1
     padded = np.concatenate([x, np.full(-len(x) % w, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, w)
@@ -192,6 +212,8 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
             for i, text, rows in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("rows").to_pylist()):
                 raw = kind.raw(text)
                 for r in rows:
+                    if r["lo"] + r["n"] + kind.window - 1 > len(raw):
+                        continue  # of another text under the same id
                     out.append((r["ah"], i, r["lo"], r["n"], r["is_hot"], raw[r["lo"] : r["lo"] + r["n"] + kind.window - 1].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["ah", "id", "lo", "n", "is_hot", "context"])
@@ -205,11 +227,11 @@ def window_names(b, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names = []
     contexts = [np.frombuffer(c, kind.unit) for c in b.column("context").to_pylist()]
     for i, j in chunks(contexts):
-        hashes = Hashes(kind.values(np.concatenate(contexts[i:j])))
+        named = triple_names(kind.values(np.concatenate(contexts[i:j])), kind.window)
         lengths = np.array([len(c) for c in contexts[i:j]])
         base = np.repeat(np.cumsum(lengths) - lengths, n[i:j])
         at = base + np.arange(len(base)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
-        names.append(hashes.of(at, at + kind.window))
+        names.append(named[at])
     row = np.repeat(np.arange(len(n)), n)
     place = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     return np.concatenate(names) if names else np.zeros(0, np.uint64), row, place
@@ -302,7 +324,7 @@ def covered_tokens(size: int, runs, window: int) -> np.ndarray:
     """Which tokens lie in a window of the runs."""
     mark = np.zeros(size + 1, np.int32)
     if runs:
-        lo = np.array([r["lo"] for r in runs])
+        lo = np.minimum(np.array([r["lo"] for r in runs]), size)
         n = np.array([r["n"] for r in runs])
         np.add.at(mark, lo, 1)
         np.add.at(mark, np.minimum(lo + n - 1 + window, size), -1)
