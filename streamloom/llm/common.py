@@ -58,3 +58,10 @@ def width(spark: SparkSession, units: float, per_task: float) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of few rows: texts become Python objects a part at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

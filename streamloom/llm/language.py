@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import table
+from streamloom.llm.common import slices, table
 
 ORDER = 4
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 
 def normal(text: str) -> str:
@@ -238,7 +238,7 @@ def identify(docs: DataFrame, detector: Detector, keep: tuple[str, ...] = ("doc_
     model = docs.sparkSession.sparkContext.broadcast(detector)  # as large as the bounded sample makes it
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             lang, score, entropy, rejected = model.value.judge(b.column("__text").to_pylist())
             kept = [b.column(f"__keep_{c}") for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"])

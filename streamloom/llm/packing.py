@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, table, text_or_empty
+from streamloom.llm.common import Staged, slices, table, text_or_empty
 
 # fixed value: how the tokenizer cuts text that holds only the characters "!" to "~"
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 PLAIN = re.compile(r"[!-~]+")
 BLANK = re.compile(r"[ \n\t\r]+")
-WORD_LIMIT, PART_LIMIT = 500_000, 1_000_000
+WORD_LIMIT, PART_LIMIT = 300_000, 600_000
 
 
 class Parts(dict):
@@ -99,7 +99,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -
 
     def run(batches):
         encoder = Encoder.of(tokenizer_path)
-        for b in batches:
+        for b in slices(batches):
             ids_col, out = b.column("doc_id").to_pylist(), []
             for doc, text in zip(ids_col, b.column("text").to_pylist()):
                 ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")

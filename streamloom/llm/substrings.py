@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, table
+from streamloom.llm.common import Staged, slices, table
 from streamloom.llm.windows import Kind, covered_tokens, keyed, repeated_windows, text_bytes, with_repeats, word_spans
 
 WINDOW, SEED = 13, 4
@@ -32,7 +32,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     repeats = repeated_windows(rows.select("id", "text"), kind, False, staged)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             total, removed, kept = [], [], []
             for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 start, end = word_spans(text_bytes(text))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, table
+from streamloom.llm.common import Staged, slices, table
 from streamloom.llm.windows import Kind, covered_tokens, keyed, repeated_windows, text_bytes, with_repeats
 
 LENGTH, SAMPLE = 100, 20
@@ -37,7 +37,7 @@ def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = (), decode: bool = Fal
     repeats = repeated_windows(rows.select("id", "text"), Kind("bytes", LENGTH, SAMPLE), True, staged)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             total, removed, spans, kept = [], [], [], []
             for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 data = text_bytes(text)

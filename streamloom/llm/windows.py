@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, text_or_empty, width
+from streamloom.llm.common import Staged, slices, text_or_empty, width
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -183,7 +183,7 @@ def anchor_rows(docs: DataFrame, kind: Kind) -> DataFrame:
     """ah, ch, id, lo, n for every anchor run of every document."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, raws, shift = [], [], []
             for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 raw = kind.raw(text)
@@ -207,7 +207,7 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
     joined = docs.join(per_doc, "id")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for i, text, rows in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("rows").to_pylist()):
                 raw = kind.raw(text)
@@ -270,7 +270,7 @@ def compare_in_buckets(contexts: DataFrame, kind: Kind, within: bool, n_buckets:
 
 def compare_by_name(contexts: DataFrame, kind: Kind, within: bool) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             name, row, place = window_names(b, kind)
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(b.column("id").to_numpy()[row]), pa.array(place)], names=["name", "id", "lo"])
 
