@@ -7,9 +7,14 @@ the earliest time, so two documents agree in a register with the probability of
 Points are drawn in rounds for all shingles of a batch, and a process stops once its time is past all its document's registers.
 
 Signatures of BANDS * ROWS registers are banded; equal texts are folded to one before. In each bucket every document is
-linked to the bucket's smallest one if their multiset overlap, counted from the texts, is 0.8 or more. Buckets that still
-hold several components after that have their remaining pairs compared (pairs of different components only), so no link
-that a bucket offers is lost, while a group of copies costs one comparison a document.
+compared with one centre, the smallest multiset c of the bucket, so a group of copies costs one comparison a document.
+
+No other link of a bucket is lost: if x is not linked to c, and y is as large as c or larger, x and y can only be linked
+if they share elements outside c. (If all that they share lies in c, they share at most |x & c|, and |x & c| over |x| +
+|y| - |x & c| is no more than the similarity of x and c.) They even share so many of them that the first few of each, in
+the order of hashes, must meet (prefix filter). So documents of a centre that failed to link someone are bucketed again by
+these elements, in which the centre itself is not, and buckets with several components go through the same step until none
+is left. Each round costs a comparison a document and bucket, never a pair of all.
 
 Defined cases: null text has no shingle; documents without words link with nothing; rows that repeat a document are
 copies of each other; null doc_id sorts first; an empty table gives an empty table; other columns are not looked at.
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, table, text_or_empty
+from streamloom.llm.common import Staged, slices, table, text_or_empty
 from streamloom.llm.links import components
 from streamloom.llm.windows import Hashes, chunks, mixed, text_bytes, word_tokens
 
@@ -37,14 +42,19 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(Hashes(words).grams(min(SHINGLE, len(words))), return_counts=True)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    i = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    hit = b[0][i] == a[0]
-    least = np.minimum(a[1][hit], b[1][i[hit]]).sum()
-    return float(least / (a[1].sum() + b[1].sum() - least))
+def elements(text: str) -> np.ndarray:
+    """The multiset as a sorted set: the j-th copy of a shingle is an element of its own."""
+    found, counts = shingles(text)
+    if len(found) == counts.sum():
+        return found
+    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort(np.repeat(found, counts) + mixed(copy.astype(np.uint64)) * (copy > 0))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets, as elements."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -100,10 +110,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """id, h1, h2 (hashes of the text), bands (none where there is no shingle)."""
+    """id, h1, h2 (hashes of the text), n (size of the multiset), bands (none where there is no shingle)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             sets = [shingles(t) for t in texts]
             keys = []
@@ -111,28 +121,61 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(j - i), [len(s[0]) for s in sets[i:j]])
                 sig = bag_min_hash(np.concatenate([s[0] for s in sets[i:j]]), np.concatenate([s[1] for s in sets[i:j]]), doc, j - i)
                 keys += [k if len(s[0]) else None for k, s in zip(band_keys(sig).view(np.int64), sets[i:j])]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h1"), b.column("h2"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h1"), b.column("h2"), pa.array([int(s[1].sum()) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h1", "h2", "n", "bands"])
 
-    return docs.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(5)).alias("h2")).mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
+    return docs.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(5)).alias("h2")).mapInArrow(run, "id long, h1 long, h2 long, n long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs a, b whose multiset overlap reaches the threshold. texts: id, text."""
-    left = texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"))
-    both = pairs.join(left.hint("merge"), F.col("a") == F.col("a_id")).join(right.hint("merge"), F.col("b") == F.col("b_id")).select("a", "b", "a_text", "b_text")
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, center, linked, and the elements (a prefix of them) by which the node could still be linked to others of the centre's
+    bucket. pairs: node, center; texts: id, text."""
+    left = texts.select(F.col("id").alias("n_id"), F.col("text").alias("n_text"))
+    right = texts.select(F.col("id").alias("c_id"), F.col("text").alias("c_text"))
+    both = pairs.join(left.hint("merge"), F.col("node") == F.col("n_id")).join(right.hint("merge"), F.col("center") == F.col("c_id")).select("node", "center", "n_text", "c_text")
 
     def run(batches):
         known, last = None, None
-        for b in batches:
-            hit = []
-            for x, y, left_text, right_text in zip(*(b.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text"))):
-                if last != y:
-                    known, last = shingles(right_text), y
-                hit.append(overlap(shingles(left_text), known) >= THRESHOLD)
-            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+        for b in slices(batches):
+            linked, size, extra = [], [], []
+            for center, text, center_text in zip(*(b.column(c).to_pylist() for c in ("center", "n_text", "c_text"))):
+                if last != center:
+                    known, last = elements(center_text), center
+                own = elements(text)
+                alone = np.setdiff1d(own, known, assume_unique=True)
+                shared = len(own) - len(alone)
+                # similarity s is shared = s / (1 + s) * (sizes)
+                need = THRESHOLD / (1 + THRESHOLD) * (len(own) + len(known)) - shared
+                linked.append(shared >= THRESHOLD * (len(own) + len(known) - shared))
+                size.append(len(own))
+                extra.append(np.sort(alone)[: max(len(alone) - max(int(np.ceil(need - 1e-9)), 1) + 1, 0)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("center"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(extra, pa.list_(pa.int64()))], names=["node", "center", "linked", "n", "extra"])
+
+    return both.mapInArrow(run, "node long, center long, linked boolean, n long, extra array<long>")
+
+
+def link(members: DataFrame, texts: DataFrame, staged: Staged) -> DataFrame:
+    """node, label of all nodes that are linked. members: g (bucket), node, n (its size)."""
+    links, labels, level = None, None, 0
+    while True:
+        heads = members.groupBy(F.col("g").alias("h_g")).agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("size")).where("size > 1").select("h_g", F.col("head.node").alias("center"))
+        pairs = members.join(heads.hint("merge"), F.col("g") == F.col("h_g")).where("node <> center").select("node", "center").distinct()
+        judged = staged.write(compared(staged.write(pairs, f"pairs-{level}"), texts), f"judged-{level}")
+        own = judged.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
+        links = own if links is None else links.unionByName(own)
+        labels = staged.write(components(links, staged, f"cc-{level}"), f"labels-{level}")
+        failed = judged.where("NOT linked").select(F.col("center").alias("f_center")).distinct()
+        again = judged.join(failed.hint("merge"), F.col("center") == F.col("f_center")).select("center", "node", "n", F.explode("extra").alias("element"))
+        again = again.select(F.xxhash64("center", "element").alias("g"), "node", "n")
+        known = labels.select(F.col("node").alias("l_node"), "label")
+        again = again.join(known.hint("merge"), F.col("node") == F.col("l_node"), "left").select("g", "node", "n", F.coalesce("label", "node").alias("label"))
+        again = staged.write(again, f"again-{level}")
+        several = again.groupBy(F.col("g").alias("s_g")).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("s_g")
+        members = staged.write(again.join(several.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "n"), f"members-{level + 1}")
+        for name in (f"pairs-{level}", f"again-{level}", f"members-{level}"):
+            staged.drop(name)
+        level += 1
+        if members.isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -143,12 +186,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = staged.write(signature_rows(rows).withColumn("rid", F.monotonically_increasing_id()), "signed")
     # equal texts are one class, represented by its first row
     classes = staged.write(signed.where("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("id", "rid")).alias("first")).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.rid").alias("node")), "classes")
-    nodes = signed.join(classes.select("node").hint("merge"), F.col("rid") == F.col("node")).select("node", "id", F.explode("bands").alias("key"))
+    nodes = signed.join(classes.select("node").hint("merge"), F.col("rid") == F.col("node")).select("node", "n", F.explode("bands").alias("g"))
     in_band = staged.write(nodes, "bands")
-    buckets = in_band.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = staged.write(in_band.join(buckets.select("k", F.col("first.node").alias("first")).hint("merge"), F.col("key") == F.col("k")).select("key", "node", "first"), "members")
+    shared = in_band.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size")).where("size > 1").select("s_g")
+    members = staged.write(in_band.join(shared.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "n"), "members-0")
     staged.drop("bands")
-    stars = staged.write(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "stars")
 
     # texts of the documents in shared buckets; a row is found by id and both hashes
     wanted = members.select("node").distinct().join(classes.hint("merge"), "node").select("node", F.col("first_id").alias("w_id"), F.col("h1").alias("w1"), F.col("h2").alias("w2"))
@@ -156,22 +198,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = hashed.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select(F.col("node").alias("id"), "text")
     texts = staged.write(texts.dropDuplicates(["id"]), "texts")
 
-    links = staged.write(verified(stars, texts), "links-0")
-    labels = staged.write(components(links, staged, "cc0"), "labels-0")
-    # buckets that hold several components: their pairs across components
-    known = labels.select(F.col("node").alias("l_node"), F.col("label").alias("l_label"))
-    labelled = members.join(known.hint("merge"), F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("l_label", "node").alias("label"))
-    mixed_buckets = labelled.groupBy(F.col("key").alias("mk")).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("mk")
-    rest = staged.write(labelled.join(mixed_buckets.hint("merge"), F.col("key") == F.col("mk")).select("key", "node", "label"), "rest")
-    other = rest.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("label").alias("l2"))
-    pairs = rest.join(other.hint("merge"), (F.col("key") == F.col("k2")) & (F.col("label") < F.col("l2"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-    pairs = pairs.join(tried.hint("merge"), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    more = staged.write(verified(pairs, texts), "links-1")
-    if not more.isEmpty():
-        labels = staged.write(components(links.unionByName(more), staged, "cc1"), "labels-1")
-    for name in ("members", "stars", "rest", "texts", "links-0", "links-1"):
-        staged.drop(name)
+    labels = link(members, texts, staged)
+    staged.drop("texts")
 
     named = classes.join(labels.select(F.col("node").alias("n"), "label").hint("merge"), F.col("node") == F.col("n"), "left").select("h1", "h2", "first_id", "node", F.coalesce("label", "node").alias("label"))
     heads = named.groupBy("label").agg(F.min(F.struct("first_id", "node")).alias("head"))

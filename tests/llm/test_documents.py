@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from streamloom.llm import language, minhash, mixing, packing, quality, shards, substrings, suffixes, windows
+from streamloom.llm.common import Staged
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -111,7 +112,7 @@ def test_anchors_depend_on_the_window_alone():
 
 
 def expected_groups(docs):
-    sets = [minhash.shingles(t) for _, t in docs]
+    sets = [minhash.elements(t) for _, t in docs]
     parent = list(range(len(docs)))
 
     def top(i):
@@ -139,6 +140,29 @@ def test_near_duplicates(messy):
     assert Counter(r["doc_id"] for r in kept.collect())[0] == 1
 
 
+def test_links_between_others_than_the_centre(spark):
+    """Families whose members differ from their smallest one, and share what it lacks: no link of a bucket may be lost."""
+    rng = np.random.default_rng(4)
+    word = lambda: "w" + str(rng.integers(1 << 30))
+    base = [word() for _ in range(100)]
+    rows = []
+    for family in range(3):
+        own = list(base)
+        own[10 * family : 10 * family + 14] = [word() for _ in range(16)]
+        for _ in range(6):
+            one = list(own)
+            for _ in range(1):
+                one[rng.integers(len(one))] = word()
+            rows.append(" ".join(one))
+    rows += [" ".join(base), " ".join(base[:90])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sizes = [(1, i, len(minhash.elements(t))) for i, t in enumerate(rows)]
+    labels = minhash.link(spark.createDataFrame(sizes, "g long, node long, n long"), docs.withColumnRenamed("doc_id", "id"), Staged(spark, "test"))
+    got = {r["node"]: r["label"] for r in labels.collect()}
+    assert Counter((i, got.get(i, i)) for i in range(len(rows))) == expected_groups(list(enumerate(rows)))
+    assert len(set(got.values())) > 1
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = np.arange(1, 300, dtype=np.uint64), np.arange(100, 400, dtype=np.uint64)
     rng = np.random.default_rng(2)
