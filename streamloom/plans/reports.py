@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from streamloom.functions import blocks, chunking, codecs, records
+from streamloom.functions import blocks, chunking, codecs, graphs, records
 from streamloom.operators import catalogue as C
 from streamloom.operators import profile as P
 from streamloom.plans import choose
@@ -299,3 +299,35 @@ def block_huffman_size(s, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def windowed_profile(s, d):
     return profiles.windowed_profile(streams.table(s, d, "events"), "ts", "value", "event_type")
+
+
+# -- graphs --
+
+
+for _name in ["flatpack", "bitpack", "zstd", "lz4", "lz", "delta_zstd", "delta_flatpack", "num16", "num16_delta", "num32_range_pack", "num32_tokenize", "num64_delta", "num64_bitpack"]:
+
+    def _graph(s, d, name=_name):
+        return graphs.round_trips(props_blocks(s, d), name).select("id", "restored")
+
+    QUERIES[f"graph_{_name}_round_trip"] = _graph
+    SQL[f"graph_{_name}_round_trip"] = "SELECT event_id AS id, true AS restored FROM events"
+
+
+@query("SELECT event_id AS id, octet_length(encode(props))::BIGINT AS n, true AS no_larger, true AS restored FROM events")
+def graph_brute_force(s, d):
+    return graphs.try_all(props_blocks(s, d)).select("id", "n", (F.col("size") <= F.col("n")).alias("no_larger"), "restored")
+
+
+@query("SELECT doc_id AS id, true AS restored FROM documents")
+def trained_dictionary(s, d):
+    return graphs.with_dictionary(blobs(s, d), graphs.train_dictionary(blobs(s, d))).select("id", "restored")
+
+
+#: a small forest for each label: high cardinality, narrow range, or neither
+FORESTS = [[graphs.Tree((0, -1, -1), (100.0, -1.0, 1.0), (1, 0, 0), (2, 0, 0), (1, 0, 0))], [graphs.Tree((1, -1, -1), (5000000.0, 2.0, -2.0), (1, 0, 0), (2, 0, 0), (2, 0, 0))], [graphs.Tree((-1,), (0.0,), (0,), (0,), (0,))]]
+
+
+@query(f"WITH {STREAMS}, f AS (SELECT stream_id, chunk_id, count(DISTINCT value) AS c, max(value) - min(value) AS r FROM price GROUP BY ALL) SELECT stream_id, chunk_id, CASE WHEN r < 5000000 THEN 'range_pack' WHEN c >= 100 THEN 'zstd' ELSE 'field_lz' END AS label FROM f")
+def plan_numeric_forest(s, d):
+    features = P.features(streams.price(s, d)).select("stream_id", "chunk_id", "cardinality", "range_size")
+    return graphs.forest_choice(features, ["cardinality", "range_size"], FORESTS, ["zstd", "range_pack", "field_lz"])

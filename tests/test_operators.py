@@ -182,3 +182,23 @@ def test_streaming_profile(spark, tmp_path):
     got = {tuple(r) for r in spark.table("profiled").collect()}
     want = {tuple(r) for r in profiles.windowed_profile(spark.read.parquet(str(src)), "ts", "value", "k").collect()}
     assert got == want and len(want) == 27
+
+
+@settings(max_examples=60, deadline=None)
+@given(BLOB)
+def test_graphs(data):
+    from streamloom.functions import graphs
+
+    for name, graph in graphs.GRAPHS.items():
+        if name == "constant" and len(set(data)) != 1:
+            continue
+        assert graphs.decode(graphs.encode(data, graph), graph) == data, name
+
+
+def test_forest_follows_missing_values():
+    import numpy as np
+
+    from streamloom.functions.graphs import Tree
+
+    tree = Tree((0, -1, -1), (1.0, 10.0, 20.0), (1, 0, 0), (2, 0, 0), (2, 0, 0))
+    assert tree.score(np.array([[0.0], [1.0], [np.nan]])).tolist() == [10.0, 20.0, 20.0]
