@@ -1,8 +1 @@
 """Operators that prepare training data. Nothing else in the library imports this subpackage."""
-
-from pyspark import cloudpickle
-
-import streamloom
-
-# Executors need no copy of the package: functions travel with the tasks.
-cloudpickle.register_pickle_by_value(streamloom)
