@@ -23,6 +23,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +32,64 @@ from pyspark.sql import functions as F
 
 from streamloom.llm.common import Staged, slices, table, text_or_empty
 
-# fixed value: how the tokenizer cuts text that holds only the characters "!" to "~"
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
-PLAIN = re.compile(r"[!-~]+")
+# fixed value: how the tokenizer cuts text that holds only the characters "!" to "~" and the letters of Latin-1
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 BLANK = re.compile(r"[ \n\t\r]+")
-WORD_LIMIT, PART_LIMIT = 300_000, 600_000
+#: byte-level characters: bytes that print stand for themselves, others for the code points from 256 on
+PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTING)}
+WORD_LIMIT, PART_LIMIT = 250_000, 300_000
 
 
-class Parts(dict):
-    """Ids (as bytes) of the pieces that a word is cut into before merging."""
+class Remembered(dict):
+    """What make() gave for a key. When `limit` keys are new, those that were not used since the last time are forgotten."""
 
-    def __init__(self, model, unit):
+    def __init__(self, limit: int):
         super().__init__()
-        self.model, self.unit = model, unit
+        self.limit, self.before = limit, {}
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= PART_LIMIT:
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        ids = self[part] = np.array([t.id for t in self.model.tokenize(part)], self.unit).tobytes()
-        return ids
+        self[key] = value
+        return value
+
+
+class Parts(Remembered):
+    """Ids (as bytes) of the pieces that a word is cut into before merging."""
+
+    def __init__(self, model, unit: str):
+        super().__init__(PART_LIMIT)
+        self.model, self.unit = model, unit
+
+    def make(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return array(self.unit, [t.id for t in self.model.tokenize(part)]).tobytes()
 
 
-class Words(dict):
+class Words(Remembered):
     """Ids (as bytes) of words: a word between blanks has the same ids alone as within its text."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.unit = tokenizer, np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        super().__init__(WORD_LIMIT)
+        self.tokenizer, self.unit = tokenizer, "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.parts = Parts(tokenizer.model, self.unit)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORD_LIMIT:
-            self.clear()
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            ids = b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.unit).tobytes()
-        self[word] = ids
-        return ids
+    def make(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
+        if "<|" not in word and PLAIN.fullmatch(word):
+            return b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word.lower())))
+        return array(self.unit, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 class Encoder:
