@@ -223,11 +223,17 @@ def held_out():
 def fit(docs: DataFrame, train_docs: int = 400, max_languages: int = 200) -> Detector:
     """From labelled rows outside the held-out fold; at most train_docs of each of the max_languages most frequent labels."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text")
-    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    if not counts:
+        return Detector({})
+    # the hash lets through about twice what is wanted, so that the exact choice is among few rows
+    h = F.xxhash64("doc_id", "text", F.lit(11))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * train_docs / n)))])
+    few = rows.where(F.shiftrightunsigned(h, 11) * F.lit(2.0**-53) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    order = Window.partitionBy("lang").orderBy(h, "doc_id", "text")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
     texts: dict[str, list[str]] = {}
-    for r in chosen.where(F.col("lang").isin(frequent)).orderBy("lang", "n").select("lang", "text").toLocalIterator():
+    for r in chosen.orderBy("lang", "n").select("lang", "text").toLocalIterator():
         if t := normal(r["text"]):
             texts.setdefault(r["lang"], []).append(t)
     return Detector(texts)
