@@ -7,14 +7,14 @@ the earliest time, so two documents agree in a register with the probability of
 Points are drawn in rounds for all shingles of a batch, and a process stops once its time is past all its document's registers.
 
 Signatures of BANDS * ROWS registers are banded; equal texts are folded to one before. In each bucket every document is
-compared with one centre, the smallest multiset c of the bucket, so a group of copies costs one comparison a document.
+compared with one centre c, the one that shares most buckets with others, so a group of copies costs one comparison a document.
 
-No other link of a bucket is lost: if x is not linked to c, and y is as large as c or larger, x and y can only be linked
-if they share elements outside c. (If all that they share lies in c, they share at most |x & c|, and |x & c| over |x| +
-|y| - |x & c| is no more than the similarity of x and c.) They even share so many of them that the first few of each, in
-the order of hashes, must meet (prefix filter). So documents of a centre that failed to link someone are bucketed again by
-these elements, in which the centre itself is not, and buckets with several components go through the same step until none
-is left. Each round costs a comparison a document and bucket, never a pair of all.
+No other link of a bucket is lost. Let a(x) be how much x shares with c, n(x) the size of x, and r(x) = a(x) (1 + s) / s - n(x)
+for the threshold s. If x and y share nothing outside c, they share min(a(x), a(y)) at most, so to be linked they need
+n(y) <= r(x) and n(x) <= r(y). So where x is not linked to c, all y that can be linked to x share an element outside c with it,
+or are small in that sense. Documents of a centre that failed to link someone are bucketed again: by the elements that c
+lacks, and the small ones together with those that failed. Buckets with several components go through the same step; those of
+at most `small` documents are settled at once, each in one task.
 
 Defined cases: null text has no shingle; documents without words link with nothing; rows that repeat a document are
 copies of each other; null doc_id sorts first; an empty table gives an empty table; other columns are not looked at.
@@ -110,7 +110,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """id, h1, h2 (hashes of the text), n (size of the multiset), bands (none where there is no shingle)."""
+    """id, h1, h2 (hashes of the text), bands (none where there is no shingle)."""
 
     def run(batches):
         for b in slices(batches):
@@ -121,14 +121,14 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(j - i), [len(s[0]) for s in sets[i:j]])
                 sig = bag_min_hash(np.concatenate([s[0] for s in sets[i:j]]), np.concatenate([s[1] for s in sets[i:j]]), doc, j - i)
                 keys += [k if len(s[0]) else None for k, s in zip(band_keys(sig).view(np.int64), sets[i:j])]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h1"), b.column("h2"), pa.array([int(s[1].sum()) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h1", "h2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h1"), b.column("h2"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h1", "h2", "bands"])
 
-    return docs.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(5)).alias("h2")).mapInArrow(run, "id long, h1 long, h2 long, n long, bands array<long>")
+    return docs.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(5)).alias("h2")).mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, center, linked, and the elements (a prefix of them) by which the node could still be linked to others of the centre's
-    bucket. pairs: node, center; texts: id, text."""
+    """node, center, linked, n (size of the node), reach (r above), extra (the elements that the centre lacks).
+    pairs: node, center; texts: id, text."""
     left = texts.select(F.col("id").alias("n_id"), F.col("text").alias("n_text"))
     right = texts.select(F.col("id").alias("c_id"), F.col("text").alias("c_text"))
     both = pairs.join(left.hint("merge"), F.col("node") == F.col("n_id")).join(right.hint("merge"), F.col("center") == F.col("c_id")).select("node", "center", "n_text", "c_text")
@@ -136,46 +136,71 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         known, last = None, None
         for b in slices(batches):
-            linked, size, extra = [], [], []
+            linked, size, reach, extra = [], [], [], []
             for center, text, center_text in zip(*(b.column(c).to_pylist() for c in ("center", "n_text", "c_text"))):
                 if last != center:
                     known, last = elements(center_text), center
                 own = elements(text)
                 alone = np.setdiff1d(own, known, assume_unique=True)
                 shared = len(own) - len(alone)
-                # similarity s is shared = s / (1 + s) * (sizes)
-                need = THRESHOLD / (1 + THRESHOLD) * (len(own) + len(known)) - shared
                 linked.append(shared >= THRESHOLD * (len(own) + len(known) - shared))
                 size.append(len(own))
-                extra.append(np.sort(alone)[: max(len(alone) - max(int(np.ceil(need - 1e-9)), 1) + 1, 0)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("center"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(extra, pa.list_(pa.int64()))], names=["node", "center", "linked", "n", "extra"])
+                reach.append(shared * (1 + THRESHOLD) / THRESHOLD - len(own) + 1e-6)
+                extra.append(alone.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("center"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(reach, pa.float64()), pa.array(extra, pa.list_(pa.int64()))], names=["node", "center", "linked", "n", "reach", "extra"])
 
-    return both.mapInArrow(run, "node long, center long, linked boolean, n long, extra array<long>")
+    return both.mapInArrow(run, "node long, center long, linked boolean, n long, reach double, extra array<long>")
 
 
-def link(members: DataFrame, texts: DataFrame, staged: Staged) -> DataFrame:
-    """node, label of all nodes that are linked. members: g (bucket), node, n (its size)."""
-    links, labels, level = None, None, 0
+def settled(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b between documents of different components (label) of each bucket g; for buckets of bounded size."""
+    joined = members.join(texts.select(F.col("id").alias("t_id"), "text").hint("merge"), F.col("node") == F.col("t_id")).select("g", "node", "label", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label = t.column("node").to_pylist(), t.column("label").to_pylist()
+        sets = [elements(x) for x in t.column("text").to_pylist()]
+        found = [(node[i], node[j]) for i in range(len(node)) for j in range(i) if label[i] != label[j] and min(len(sets[i]), len(sets[j])) >= THRESHOLD * max(len(sets[i]), len(sets[j])) and overlap(sets[i], sets[j]) >= THRESHOLD]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return joined.groupBy("g").applyInArrow(run, "a long, b long")
+
+
+def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32) -> DataFrame:
+    """node, label of all nodes that are linked. members: g (bucket), node."""
+    links, level = None, 0
     while True:
-        heads = members.groupBy(F.col("g").alias("h_g")).agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("size")).where("size > 1").select("h_g", F.col("head.node").alias("center"))
-        pairs = members.join(heads.hint("merge"), F.col("g") == F.col("h_g")).where("node <> center").select("node", "center").distinct()
-        judged = staged.write(compared(staged.write(pairs, f"pairs-{level}"), texts), f"judged-{level}")
+        sizes = members.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size"))
+        sized = staged.write(members.join(sizes.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "size"), f"sized-{level}")
+        weights = sized.groupBy(F.col("node").alias("w_node")).agg(F.sum("size").alias("weight"))
+        weighted = sized.join(weights.hint("merge"), F.col("node") == F.col("w_node"))
+        heads = weighted.groupBy(F.col("g").alias("h_g")).agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("head")).select("h_g", (-F.col("head.minus")).alias("center"))
+        pairs = staged.write(sized.join(heads.hint("merge"), F.col("g") == F.col("h_g")).where("node <> center").select("node", "center").distinct(), f"pairs-{level}")
+        judged = staged.write(compared(pairs, texts), f"judged-{level}")
         own = judged.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
         links = own if links is None else links.unionByName(own)
         labels = staged.write(components(links, staged, f"cc-{level}"), f"labels-{level}")
-        failed = judged.where("NOT linked").select(F.col("center").alias("f_center")).distinct()
-        again = judged.join(failed.hint("merge"), F.col("center") == F.col("f_center")).select("center", "node", "n", F.explode("extra").alias("element"))
-        again = again.select(F.xxhash64("center", "element").alias("g"), "node", "n")
+
+        # next buckets: of centres that failed to link someone
+        limits = judged.where("NOT linked").groupBy(F.col("center").alias("f_center")).agg(F.max("reach").alias("most"), F.min("n").alias("least"))
+        failed = judged.join(limits.hint("merge"), F.col("center") == F.col("f_center"))
+        by_extra = failed.select("center", "node", F.explode("extra").alias("element")).select(F.xxhash64("center", "element").alias("g"), "node")
+        by_size = failed.where("NOT linked OR (n <= most AND reach >= least)").select(F.xxhash64("center", F.lit("small")).alias("g"), "node")
         known = labels.select(F.col("node").alias("l_node"), "label")
-        again = again.join(known.hint("merge"), F.col("node") == F.col("l_node"), "left").select("g", "node", "n", F.coalesce("label", "node").alias("label"))
+        again = by_extra.unionByName(by_size).join(known.hint("merge"), F.col("node") == F.col("l_node"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
         again = staged.write(again, f"again-{level}")
-        several = again.groupBy(F.col("g").alias("s_g")).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("s_g")
-        members = staged.write(again.join(several.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "n"), f"members-{level + 1}")
-        for name in (f"pairs-{level}", f"again-{level}", f"members-{level}"):
+        several = again.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("l0 < l1")
+        # one of the buckets that hold the same documents
+        several = several.groupBy("size", "set").agg(F.min("s_g").alias("s_g"))
+        kept = staged.write(again.join(several.select("s_g", "size").hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "label", "size"), f"kept-{level}")
+        more = staged.write(settled(kept.where(F.col("size") <= small), texts).distinct(), f"settled-{level}")
+        links = links.unionByName(more)
+        members = staged.write(kept.where(F.col("size") > small).select("g", "node"), f"members-{level + 1}")
+        for name in (f"sized-{level}", f"pairs-{level}", f"again-{level}", f"kept-{level}", f"members-{level}"):
             staged.drop(name)
         level += 1
         if members.isEmpty():
-            return labels
+            return staged.write(components(links, staged, "cc-last"), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -186,10 +211,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = staged.write(signature_rows(rows).withColumn("rid", F.monotonically_increasing_id()), "signed")
     # equal texts are one class, represented by its first row
     classes = staged.write(signed.where("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("id", "rid")).alias("first")).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.rid").alias("node")), "classes")
-    nodes = signed.join(classes.select("node").hint("merge"), F.col("rid") == F.col("node")).select("node", "n", F.explode("bands").alias("g"))
+    nodes = signed.join(classes.select("node").hint("merge"), F.col("rid") == F.col("node")).select("node", F.explode("bands").alias("g"))
     in_band = staged.write(nodes, "bands")
     shared = in_band.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size")).where("size > 1").select("s_g")
-    members = staged.write(in_band.join(shared.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "n"), "members-0")
+    members = staged.write(in_band.join(shared.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node"), "members-0")
     staged.drop("bands")
 
     # texts of the documents in shared buckets; a row is found by id and both hashes
@@ -199,7 +224,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = staged.write(texts.dropDuplicates(["id"]), "texts")
 
     labels = link(members, texts, staged)
-    staged.drop("texts")
 
     named = classes.join(labels.select(F.col("node").alias("n"), "label").hint("merge"), F.col("node") == F.col("n"), "left").select("h1", "h2", "first_id", "node", F.coalesce("label", "node").alias("label"))
     heads = named.groupBy("label").agg(F.min(F.struct("first_id", "node")).alias("head"))

@@ -140,24 +140,22 @@ def test_near_duplicates(messy):
     assert Counter(r["doc_id"] for r in kept.collect())[0] == 1
 
 
-def test_links_between_others_than_the_centre(spark):
-    """Families whose members differ from their smallest one, and share what it lacks: no link of a bucket may be lost."""
+@pytest.mark.parametrize("small", [32, 1])
+def test_links_between_others_than_the_centre(spark, small):
+    """Families of edits and of cut copies, in one bucket: no link may be lost, whichever document is its centre."""
     rng = np.random.default_rng(4)
     word = lambda: "w" + str(rng.integers(1 << 30))
     base = [word() for _ in range(100)]
-    rows = []
-    for family in range(3):
+    rows = [" ".join(base), " ".join(base[:90]), " ".join(base[:76]), " ".join(base[:60]), " ".join(base[30:])]
+    for family in range(2):
         own = list(base)
         own[10 * family : 10 * family + 14] = [word() for _ in range(16)]
-        for _ in range(6):
+        for _ in range(4):
             one = list(own)
-            for _ in range(1):
-                one[rng.integers(len(one))] = word()
+            one[rng.integers(len(one))] = word()
             rows.append(" ".join(one))
-    rows += [" ".join(base), " ".join(base[:90])]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    sizes = [(1, i, len(minhash.elements(t))) for i, t in enumerate(rows)]
-    labels = minhash.link(spark.createDataFrame(sizes, "g long, node long, n long"), docs.withColumnRenamed("doc_id", "id"), Staged(spark, "test"))
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    labels = minhash.link(spark.createDataFrame([(1, i) for i in range(len(rows))], "g long, node long"), docs, Staged(spark, "test"), small)
     got = {r["node"]: r["label"] for r in labels.collect()}
     assert Counter((i, got.get(i, i)) for i in range(len(rows))) == expected_groups(list(enumerate(rows)))
     assert len(set(got.values())) > 1
