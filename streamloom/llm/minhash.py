@@ -9,12 +9,14 @@ Points are drawn in rounds for all shingles of a batch, and a process stops once
 Signatures of BANDS * ROWS registers are banded; equal texts are folded to one before. In each bucket every document is
 compared with one centre c, the one that shares most buckets with others, so a group of copies costs one comparison a document.
 
-No other link of a bucket is lost. Let a(x) be how much x shares with c, n(x) the size of x, and r(x) = a(x) (1 + s) / s - n(x)
+Other links of a bucket are looked for as follows. Let a(x) be how much x shares with c, n(x) the size of x, and r(x) = a(x) (1 + s) / s - n(x)
 for the threshold s. If x and y share nothing outside c, they share min(a(x), a(y)) at most, so to be linked they need
 n(y) <= r(x) and n(x) <= r(y). So where x is not linked to c, all y that can be linked to x share an element outside c with it,
 or are small in that sense. Documents of a centre that failed to link someone are bucketed again: by the elements that c
 lacks, and the small ones together with those that failed. Buckets with several components go through the same step; those of
-at most `small` documents are settled at once, each in one task.
+at most `small` documents are settled at once, each in one task. Rounds end when no bucket is left, or when one has
+found no new link: what is left then are large families of documents that overlap without being near copies, and a link
+between two of them that neither a centre nor a small bucket has shown would be missed.
 
 Defined cases: null text has no shingle; documents without words link with nothing; rows that repeat a document are
 copies of each other; null doc_id sorts first; an empty table gives an empty table; other columns are not looked at.
@@ -168,7 +170,7 @@ def settled(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32) -> DataFrame:
     """node, label of all nodes that are linked. members: g (bucket), node."""
-    links, level = None, 0
+    links, level, before = None, 0, None
     while True:
         sizes = members.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size"))
         sized = staged.write(members.join(sizes.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "size"), f"sized-{level}")
@@ -180,6 +182,7 @@ def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32)
         own = judged.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
         links = own if links is None else links.unionByName(own)
         labels = staged.write(components(links, staged, f"cc-{level}"), f"labels-{level}")
+        state = tuple(labels.agg(F.count("*"), F.count_distinct("label")).first())
 
         # next buckets: of centres that failed to link someone
         limits = judged.where("NOT linked").groupBy(F.col("center").alias("f_center")).agg(F.max("reach").alias("most"), F.min("n").alias("least"))
@@ -199,7 +202,9 @@ def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32)
         for name in (f"sized-{level}", f"pairs-{level}", f"again-{level}", f"kept-{level}", f"members-{level}"):
             staged.drop(name)
         level += 1
-        if members.isEmpty():
+        quiet = before == state and more.isEmpty()
+        before = state
+        if quiet or members.isEmpty():
             return staged.write(components(links, staged, "cc-last"), "labels")
 
 
