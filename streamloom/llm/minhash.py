@@ -9,14 +9,13 @@ Points are drawn in rounds for all shingles of a batch, and a process stops once
 Signatures of BANDS * ROWS registers are banded; equal texts are folded to one before. In each bucket every document is
 compared with one centre c, the one that shares most buckets with others, so a group of copies costs one comparison a document.
 
-Other links of a bucket are looked for as follows. Let a(x) be how much x shares with c, n(x) the size of x, and r(x) = a(x) (1 + s) / s - n(x)
-for the threshold s. If x and y share nothing outside c, they share min(a(x), a(y)) at most, so to be linked they need
-n(y) <= r(x) and n(x) <= r(y). So where x is not linked to c, all y that can be linked to x share an element outside c with it,
-or are small in that sense. Documents of a centre that failed to link someone are bucketed again: by the elements that c
-lacks, and the small ones together with those that failed. Buckets with several components go through the same step; those of
-at most `small` documents are settled at once, each in one task. Rounds end when no bucket is left, or when one has
-found no new link: what is left then are large families of documents that overlap without being near copies, and a link
-between two of them that neither a centre nor a small bucket has shown would be missed.
+Other links of a bucket are found as follows. The rest of a bucket (all but its centre) whose documents are not of one
+component yet is left over. Rests of at most `small` documents are settled at once, each in one task. The documents of all
+larger ones go through a prefix join, which is exact: with the elements of a document of size n in one order for all
+documents, rarest first, two linked documents share one of their first n - ceil(s n) + 1 elements (s: the threshold). Documents
+are bucketed by these; a bucket of several components is dealt out in pairs of blocks, the documents of its most common
+component against the others and the others among themselves, so no task holds more than two blocks. How often elements
+occur is counted in SLOTS hashed counters; a collision changes the order, and so the work, but not the links.
 
 Defined cases: null text has no shingle; documents without words link with nothing; rows that repeat a document are
 copies of each other; null doc_id sorts first; an empty table gives an empty table; other columns are not looked at.
@@ -34,6 +33,7 @@ from streamloom.llm.links import components
 from streamloom.llm.windows import Hashes, chunks, mixed, text_bytes, word_tokens
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
+SLOTS = 1 << 20
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +129,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, center, linked, n (size of the node), reach (r above), extra (the elements that the centre lacks).
-    pairs: node, center; texts: id, text."""
+    """node, center, linked. pairs: node, center; texts: id, text."""
     left = texts.select(F.col("id").alias("n_id"), F.col("text").alias("n_text"))
     right = texts.select(F.col("id").alias("c_id"), F.col("text").alias("c_text"))
     both = pairs.join(left.hint("merge"), F.col("node") == F.col("n_id")).join(right.hint("merge"), F.col("center") == F.col("c_id")).select("node", "center", "n_text", "c_text")
@@ -138,20 +137,14 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         known, last = None, None
         for b in slices(batches):
-            linked, size, reach, extra = [], [], [], []
+            linked = []
             for center, text, center_text in zip(*(b.column(c).to_pylist() for c in ("center", "n_text", "c_text"))):
                 if last != center:
                     known, last = elements(center_text), center
-                own = elements(text)
-                alone = np.setdiff1d(own, known, assume_unique=True)
-                shared = len(own) - len(alone)
-                linked.append(shared >= THRESHOLD * (len(own) + len(known) - shared))
-                size.append(len(own))
-                reach.append(shared * (1 + THRESHOLD) / THRESHOLD - len(own) + 1e-6)
-                extra.append(alone.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("center"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(reach, pa.float64()), pa.array(extra, pa.list_(pa.int64()))], names=["node", "center", "linked", "n", "reach", "extra"])
+                linked.append(overlap(elements(text), known) >= THRESHOLD)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("center"), pa.array(linked, pa.bool_())], names=["node", "center", "linked"])
 
-    return both.mapInArrow(run, "node long, center long, linked boolean, n long, reach double, extra array<long>")
+    return both.mapInArrow(run, "node long, center long, linked boolean")
 
 
 def settled(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,44 +161,116 @@ def settled(members: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.groupBy("g").applyInArrow(run, "a long, b long")
 
 
+def slots(e: np.ndarray) -> np.ndarray:
+    return (mixed(e) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def lists(column) -> list[np.ndarray]:
+    """The arrays of a column of element lists."""
+    return [np.asarray(x.values, np.int64).view(np.uint64) for x in column]
+
+
+def rarest_first(e: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The elements of which a linked document has one at least among its own."""
+    need = int(np.ceil(THRESHOLD * len(e) - 1e-6))
+    return e[np.lexsort((e, often[slots(e)]))[: len(e) - need + 1]]
+
+
+def joined_by_prefix(left: DataFrame, texts: DataFrame, staged: Staged, block: int = 256) -> DataFrame:
+    """Links a, b that connect the components of left (node, label) as all links between their documents do."""
+    spark = staged.spark
+    with_text = left.join(texts.select(F.col("id").alias("t_id"), "text").hint("merge"), F.col("node") == F.col("t_id")).select("node", "label", "text")
+
+    def read(batches):
+        for b in slices(batches):
+            found = [elements(t).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), pa.array(found, pa.list_(pa.int64()))], names=["node", "label", "elements"])
+
+    sets = staged.write(with_text.mapInArrow(read, "node long, label long, elements array<long>"), "prefix-sets")
+
+    def tally(batches):
+        for b in slices(batches):
+            slot, n = np.unique(slots(np.concatenate(lists(b.column("elements")))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+    counted = sets.select("elements").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    often = spark.sparkContext.broadcast(counts)
+
+    def cut(batches):
+        for b in slices(batches):
+            first = [rarest_first(e, often.value).view(np.int64) for e in lists(b.column("elements"))]
+            take = pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), b.column("node").take(take), b.column("label").take(take)], names=["g", "node", "label"])
+
+    by_element = staged.write(sets.mapInArrow(cut, "g long, node long, label long"), "prefix-buckets")
+    shares = by_element.groupBy("g", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set"))
+    several = shares.groupBy(F.col("g").alias("s_g")).agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("set").alias("set")).where("labels > 1")
+    # one of the buckets that hold the same documents
+    several = several.groupBy("size", "set").agg(F.min(F.struct("s_g", "most")).alias("b")).select(F.col("b.s_g").alias("s_g"), "size", F.col("b.most.n").alias("n_main"), F.col("b.most.label").alias("main"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    placed = by_element.join(several.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", (F.col("label") == F.col("main")).alias("is_main"), parts(F.col("n_main")).alias("mains"), parts(F.col("size") - F.col("n_main")).alias("others"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    pair = lambda u, v: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"))
+    # a pair of blocks: one of the most common component (from 0) and one of the others, or two of the others (below 0)
+    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: pair(F.col("own"), j))
+    with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: pair(i, F.col("own")))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: pair(-1 - F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    at = F.when(F.col("is_main"), with_others).when(F.col("others") == 1, with_mains).otherwise(F.concat(with_mains, among))
+    dealt = placed.withColumn("own", own).select("g", "node", "is_main", F.explode(at).alias("at")).select("g", "node", "is_main", "at.u", "at.v")
+    full = dealt.join(sets.select(F.col("node").alias("e_node"), "label", "elements").hint("merge"), F.col("node") == F.col("e_node")).select("g", "u", "v", "node", "is_main", "label", "elements")
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, label, is_main = t.column("node").to_numpy(), t.column("label").to_numpy(), t.column("is_main").to_numpy()
+        found = lists(t.column("elements"))
+        size = np.array([len(e) for e in found])
+        starts = np.cumsum(size) - size
+        names, flat = np.unique(np.concatenate(found), return_inverse=True)
+        has = np.zeros(len(names), bool)
+        a, b = [], []
+        for x in np.flatnonzero(~is_main):
+            mine = flat[starts[x] : starts[x] + size[x]]
+            has[mine] = True
+            shared = np.add.reduceat(has[flat], starts, dtype=np.int64)
+            has[mine] = False
+            y = np.flatnonzero((shared / (size + size[x] - shared) >= THRESHOLD) & (label != label[x]))
+            y = y[np.unique(label[y], return_index=True)[1]]  # one link to each component
+            a += [node[x]] * len(y)
+            b += node[y].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return staged.write(full.groupBy("g", "u", "v").applyInArrow(compare, "a long, b long").distinct(), "prefix-links")
+
+
 def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32) -> DataFrame:
     """node, label of all nodes that are linked. members: g (bucket), node."""
-    links, level, before = None, 0, None
-    while True:
-        sizes = members.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size"))
-        sized = staged.write(members.join(sizes.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "size"), f"sized-{level}")
-        weights = sized.groupBy(F.col("node").alias("w_node")).agg(F.sum("size").alias("weight"))
-        weighted = sized.join(weights.hint("merge"), F.col("node") == F.col("w_node"))
-        heads = weighted.groupBy(F.col("g").alias("h_g")).agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("head")).select("h_g", (-F.col("head.minus")).alias("center"))
-        pairs = staged.write(sized.join(heads.hint("merge"), F.col("g") == F.col("h_g")).where("node <> center").select("node", "center").distinct(), f"pairs-{level}")
-        judged = staged.write(compared(pairs, texts), f"judged-{level}")
-        own = judged.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
-        links = own if links is None else links.unionByName(own)
-        labels = staged.write(components(links, staged, f"cc-{level}"), f"labels-{level}")
-        state = tuple(labels.agg(F.count("*"), F.count_distinct("label")).first())
-
-        # next buckets: of centres that failed to link someone
-        limits = judged.where("NOT linked").groupBy(F.col("center").alias("f_center")).agg(F.max("reach").alias("most"), F.min("n").alias("least"))
-        failed = judged.join(limits.hint("merge"), F.col("center") == F.col("f_center"))
-        by_extra = failed.select("center", "node", F.explode("extra").alias("element")).select(F.xxhash64("center", "element").alias("g"), "node")
-        by_size = failed.where("NOT linked OR (n <= most AND reach >= least)").select(F.xxhash64("center", F.lit("small")).alias("g"), "node")
-        known = labels.select(F.col("node").alias("l_node"), "label")
-        again = by_extra.unionByName(by_size).join(known.hint("merge"), F.col("node") == F.col("l_node"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
-        again = staged.write(again, f"again-{level}")
-        several = again.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("l0 < l1")
-        # one of the buckets that hold the same documents
-        several = several.groupBy("size", "set").agg(F.min("s_g").alias("s_g"))
-        kept = staged.write(again.join(several.select("s_g", "size").hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "label", "size"), f"kept-{level}")
-        more = staged.write(settled(kept.where(F.col("size") <= small), texts).distinct(), f"settled-{level}")
-        links = links.unionByName(more)
-        members = staged.write(kept.where(F.col("size") > small).select("g", "node"), f"members-{level + 1}")
-        for name in (f"sized-{level}", f"pairs-{level}", f"again-{level}", f"kept-{level}", f"members-{level}"):
-            staged.drop(name)
-        level += 1
-        quiet = before == state and more.isEmpty()
-        before = state
-        if quiet or members.isEmpty():
-            return staged.write(components(links, staged, "cc-last"), "labels")
+    sizes = members.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size"))
+    sized = staged.write(members.join(sizes.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "size"), "sized")
+    weights = sized.groupBy(F.col("node").alias("w_node")).agg(F.sum("size").alias("weight"))
+    weighted = sized.join(weights.hint("merge"), F.col("node") == F.col("w_node"))
+    heads = weighted.groupBy(F.col("g").alias("h_g")).agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("head")).select("h_g", (-F.col("head.minus")).alias("center"))
+    rest = staged.write(sized.join(heads.hint("merge"), F.col("g") == F.col("h_g")).where("node <> center").select("g", "node", "center"), "rest")
+    judged = staged.write(compared(rest.select("node", "center").distinct(), texts), "judged")
+    staged.drop("sized")
+    links = judged.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
+    labels = staged.write(components(links, staged, "cc-centres"), "labels-centres")
+
+    # what the centres leave over: rests of several components
+    known = labels.select(F.col("node").alias("l_node"), "label")
+    labelled = rest.join(known.hint("merge"), F.col("node") == F.col("l_node"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
+    labelled = staged.write(labelled, "labelled")
+    several = labelled.groupBy(F.col("g").alias("s_g")).agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("l0 < l1")
+    # one of the buckets that hold the same documents
+    several = several.groupBy("size", "set").agg(F.min("s_g").alias("s_g"))
+    kept = staged.write(labelled.join(several.select("s_g", "size").hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "label", "size"), "kept")
+    for name in ("rest", "labelled"):
+        staged.drop(name)
+    links = links.unionByName(staged.write(settled(kept.where(F.col("size") <= small), texts).distinct(), "settled"))
+    left = staged.write(kept.where(F.col("size") > small).select("node", "label").distinct(), "left")
+    if not left.isEmpty():
+        links = links.unionByName(joined_by_prefix(left, texts, staged))
+    return staged.write(components(links, staged, "cc-last"), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

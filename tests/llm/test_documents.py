@@ -161,6 +161,44 @@ def test_links_between_others_than_the_centre(spark, small):
     assert len(set(got.values())) > 1
 
 
+def test_links_within_a_family_of_templates(spark):
+    """Documents of ten of twenty common sentences, far below the threshold, are one bucket with one planted pair."""
+    rng = np.random.default_rng(7)
+    word = lambda: "w" + str(rng.integers(1 << 30))
+    sentences = [[word() for _ in range(12)] for _ in range(20)]
+    rows = [[w for k in sorted(rng.choice(20, 10, replace=False)) for w in sentences[k]] for _ in range(300)]
+    rows.append([*rows[290][:50], word(), *rows[290][51:]])
+    rows = list(enumerate(map(" ".join, rows)))
+    members = spark.createDataFrame([(1, i) for i, _ in rows], "g long, node long")
+    labels = minhash.link(members, spark.createDataFrame(rows, "id long, text string"), Staged(spark, "test"))
+    got = {r["node"]: r["label"] for r in labels.collect()}
+    assert got[300] == got[290]
+    assert Counter((i, got.get(i, i)) for i, _ in rows) == expected_groups(rows)
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_prefix_join_finds_what_brute_force_does(spark, block):
+    """Truncations, edits and templates with common parts, in blocks that are dealt out: the same groups."""
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(1 << 30))
+    text = [word() for _ in range(400)]
+    rows = [" ".join(text[:n]) for n in (20, 40, 49, 100, 180, 220, 300, 370, 400)]
+    for i in range(90):
+        own = text[200 : 200 + 60 + i % 5]
+        for at in rng.integers(len(own), size=i % 4):
+            own[at] = word()
+        rows.append(" ".join(own))
+    rows += [" ".join(text[:70] + [word() for _ in range(20)]) for _ in range(30)]
+    want = expected_groups(list(enumerate(rows)))
+    known = [(i, k) for i, k in want if i % 3]  # groups that are known in part
+    left = spark.createDataFrame(known + [(i, i) for i in range(0, len(rows), 3)], "node long, label long")
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    staged = Staged(spark, "test")
+    links = minhash.joined_by_prefix(left, docs, staged, block).unionByName(spark.createDataFrame(known, "a long, b long"))
+    got = {r["node"]: r["label"] for r in minhash.components(links, staged).collect()}
+    assert Counter((i, got.get(i, i)) for i in range(len(rows))) == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = np.arange(1, 300, dtype=np.uint64), np.arange(100, 400, dtype=np.uint64)
     rng = np.random.default_rng(2)
