@@ -4,7 +4,8 @@ Equal vectors are folded into one node with a weight. Centroids are fitted on a
 node joins the shards of its `overlap` nearest centroids. In a shard the nearest neighbours of each node are its candidates,
 and robust pruning keeps those that no kept neighbour is much closer to; the adjacency lists of a node from all its shards
 are united. Then every node is a query: in each of its shards (and the next nearest ones, `probes` in all) a greedy beam search
-from the shard's medoid finds the query's surroundings, and the search expands through neighbours for as long as they are within
+from the shard's medoid, from the query itself where it is a member, and from a node of each part of the graph that no edge
+leads into (`entries`: all nodes can be reached from these) finds the query's surroundings, and the search expands through neighbours for as long as they are within
 the threshold. Pairs found are verified with cosines in double precision. Shards that outgrow `shard_rows` by three
 are cut again by centroids of their own.
 
@@ -88,22 +89,61 @@ def robust_prune(x: np.ndarray, candidates: np.ndarray, degree: int, alpha: floa
     return [c[k] for c, k in zip(candidates, kept)]
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, medoid: int, queries: np.ndarray, threshold: float, beam: int = 32, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, node) pairs within the threshold. graph: node x degree, -1 where there is no edge."""
+def reached(graph: np.ndarray, seen: np.ndarray, at: np.ndarray) -> None:
+    """Marks in seen all nodes that paths from the nodes `at` lead to."""
+    seen[at] = True
+    while len(at):
+        near = np.unique(graph[at])
+        at = near[near >= 0]
+        at = at[~seen[at]]
+        seen[at] = True
+
+
+def entries(graph: np.ndarray, medoid: int) -> np.ndarray:
+    """The medoid and further nodes, so that every node can be reached from one of them. graph: see beam_search."""
+    n = len(graph)
+    seen, starts = np.zeros(n, bool), []
+    reached(graph, seen, np.array([medoid]))
+    while not seen.all():
+        starts.append(int(np.argmin(seen)))
+        reached(graph, seen, np.array([starts[-1]]))
+    # those that a later one reaches are not needed
+    seen[:], kept = False, []
+    reached(graph, seen, np.array([medoid]))
+    for s in reversed(starts):
+        if not seen[s]:
+            kept.append(s)
+            reached(graph, seen, np.array([s]))
+    return np.array([medoid, *kept])
+
+
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray | None = None, beam: int = 32, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, node) pairs within the threshold. graph: node x degree, -1 where there is no edge; starts: nodes that every
+    query starts from; own: of each query the node that it is, or -1."""
     found_q, found_n = [], []
     n = len(x)
     slack = threshold - 1e-6
+    width = beam + len(starts)
     for i in range(0, len(queries), block):
         q = queries[i : i + block]
         rows = np.arange(len(q))
         seen = np.zeros((len(q), n + 1), bool)
         seen[:, n] = True  # stands for "no edge"
-        seen[:, medoid] = True
-        pool = np.full((len(q), beam), -1)
-        worth = np.full((len(q), beam), -9.0)
-        open_ = np.zeros((len(q), beam), bool)
-        pool[:, 0], worth[:, 0], open_[:, 0] = medoid, q @ x[medoid], True
-        hits_q, hits_n = [rows[worth[:, 0] >= slack]], [pool[worth[:, 0] >= slack, 0]]
+        first = np.tile(starts, (len(q), 1))
+        if own is not None:
+            mine = own[i : i + block, None]
+            first = np.concatenate([first, np.where((mine < 0) | (first == mine).any(axis=1, keepdims=True), n, mine)], axis=1)
+        is_node = first < n
+        seen[rows[:, None], first] = True
+        pool = np.full((len(q), width), -1)
+        worth = np.full((len(q), width), -9.0)
+        open_ = np.zeros((len(q), width), bool)
+        k = first.shape[1]
+        pool[:, :k] = np.where(is_node, first, -1)
+        worth[:, :k] = np.where(is_node, np.einsum("qd,qkd->qk", q, x[np.minimum(first, n - 1)]), -9)
+        open_[:, :k] = is_node
+        a, b = np.nonzero(is_node & (worth[:, :k] >= slack))
+        hits_q, hits_n = [a], [first[a, b]]
         while open_.any():
             best = np.where(open_, worth, -99).argmax(axis=1)
             live = np.flatnonzero(open_[rows, best])
@@ -119,7 +159,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, medoid: int, queries: np.ndarr
             hits_n.append(near[a, b])
             # hits leave the beam: the expansion below follows them
             joined = np.concatenate([worth[live], value], axis=1)
-            top = np.argpartition(-joined, beam - 1, axis=1)[:, :beam]
+            top = np.argpartition(-joined, width - 1, axis=1)[:, :width]
             pool[live] = np.take_along_axis(np.concatenate([pool[live], near], axis=1), top, 1)
             open_[live] = np.take_along_axis(np.concatenate([open_[live], value > -9], axis=1), top, 1)
             worth[live] = np.take_along_axis(joined, top, 1)
@@ -221,7 +261,9 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = 15
         for i, e in enumerate(edges):
             g[i, : len(e)] = e
         medoid = int((inside @ inside.mean(axis=0)).argmax())
-        q, n = beam_search(inside, g, medoid, x, threshold)
+        own = np.full(len(x), -1)
+        own[member] = np.arange(len(inside))
+        q, n = beam_search(inside, g, entries(g, medoid), x, threshold, own)
         a, b = ids[q], ids[member][n]
         cosine = np.einsum("nd,nd->n", x[q], inside[n])
         ok = (a != b) & (cosine >= threshold)

@@ -49,6 +49,25 @@ def test_near_vectors(spark):
     assert there and found >= 0.9 * there
 
 
+def test_groups_larger_than_the_lists_of_neighbours(spark):
+    """Only groups of 100 noisy copies in one shard: the graph has a part for each, and all links are within them."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(10, 32)), 100, axis=0) + rng.normal(size=(1000, 32)) * 0.1
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    link = cosines(x) >= 0.9
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * (link.sum() - len(x))
+    assert all(r["component_id"] == i // 100 * 100 for i, r in got.items())
+
+
+def test_every_node_can_be_reached():
+    graph = np.array([[1, -1], [0, -1], [3, -1], [4, 2], [2, -1], [6, -1], [0, -1]])
+    starts = vectors.entries(graph, 0)
+    seen = np.zeros(len(graph), bool)
+    vectors.reached(graph, seen, starts)
+    assert seen.all() and len(starts) == 3
+
+
 def test_near_vectors_of_no_rows(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_vectors(df).count() == 0
