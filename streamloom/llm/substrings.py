@@ -1,9 +1,10 @@
 r"""Exact substring dedup of words by seed and extend.
 
-Seeds are winnowed anchors of `SEED` words; documents meet where they share one. A match extends both ways over the anchor's
-context: contexts that agree as a whole are whole matches, others are compared at every place at which a window of
-WINDOW words holds the seed. So every maximal repeat of at least WINDOW words is found, and the words that it covers go
-from all documents but the one of the smallest doc_id in which the windows start.
+Seeds are winnowed anchors of `SEED` words; documents meet where they share one. A match is extended both ways from the
+anchor, step by step (windows.py): whoever shares the seed is compared by the whole run of windows around it, and where runs
+differ, by longer and longer strings around the seed, up to WINDOW words. What still meets then is a match;
+neighbouring matches are joined, so a document's spans are its maximal repeats of at least WINDOW words, and they go
+from all documents but the one of the smallest doc_id in which their windows start.
 
 Words are runs of other than \x20 and \x09-\x0D and are left as they are.
 
@@ -14,6 +15,7 @@ a window; an empty table gives an empty table; other columns pass through where
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,25 +27,30 @@ WINDOW, SEED = 13, 4
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space)."""
+    """doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space), spans (removed runs of words: start, length)."""
     staged = Staged(docs.sparkSession, "substrings")
     kind = Kind("words", WINDOW, SEED)
     rows = keyed(docs)
     repeats = repeated_windows(rows.select("id", "text"), kind, False, staged)
 
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
     def run(batches):
         for b in slices(batches):
-            total, removed, kept = [], [], []
+            total, removed, kept, spans = [], [], [], []
             for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
                 start, end = word_spans(text_bytes(text))
                 gone = covered_tokens(len(start), runs, WINDOW)
                 data = text.encode()
+                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                first, after = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
+                spans.append([{"start": i, "length": j - i} for i, j in zip(first, after)])
                 total.append(len(start))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(data[s:e] for s, e in zip(start[~gone].tolist(), end[~gone].tolist())).decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kinds)], names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
-    return with_repeats(rows, repeats).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return with_repeats(rows, repeats).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:bigint,length:bigint>>")
 
 
 def op2_substring_dedup(spark, sf_dir):

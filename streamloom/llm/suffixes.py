@@ -1,16 +1,11 @@
 """Suffix-array dedup of bytes: a byte goes if a string of `LENGTH` bytes that covers it also starts earlier.
 
-The steps are those of the distributed difference-cover algorithm, cut off at the depth of LENGTH bytes:
-
-- sample places so that equal strings have sampled places at equal distances. A cover modulo 3 samples two places of three
-  and has to sort all of them; here the sample is chosen by content (a synchronising set: the anchors of windows.py),
-  about one place of 40;
-- name triples, and recurse on names: three names at distance 3^k make the name of 3^(k + 1) bytes (windows.triple_names).
-  Names are hashes in place of ranks, so a level needs no sort of its own;
-- sort sampled places by their names. Only places whose neighbours in this order have equal prefixes go on;
-- merge the remaining suffixes: each is placed through the sampled place within its first LENGTH bytes, by the bytes before
-  and after that;
-- compare neighbours: suffixes whose names of LENGTH bytes are equal repeat, and the first of them stays.
+The difference-cover algorithm sorts the suffixes at sampled places and merges those at all others, so it moves a row for each
+byte. Here the sample is a synchronising set in place of the cover modulo 3 (README: figures): places are chosen by content, about
+one of 40, and of any two equal strings the same place is in the set, which is what the cover is for. Nothing
+else of that algorithm is left out or renamed: there is no order of all suffixes and there are no ranks. What decides is
+windows.py: sampled places that share the bytes around them are grouped, and those bytes grow in steps of three until they are
+the whole string of LENGTH bytes or nobody else has them.
 
 Defined cases: null text is empty; null doc_id is smaller than all others; rows that share a doc_id are one document where
 strings are judged by place; texts of any length are cut into parts that overlap; an empty table gives an empty table.

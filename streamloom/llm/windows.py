@@ -1,17 +1,22 @@
 """Windows of W tokens that also start earlier: the engine of substring dedup (words) and suffix-array dedup (bytes).
 
 Sampling. Of every W tokens in a row, one k-gram is the anchor: the least by hash among the W - k + 1 (the rightmost of
-equal ones). The choice depends on the window's content alone, so equal windows have equal anchors at equal distances.
-Neighbouring windows share anchors: an anchor stands for a run of windows, and about one anchor is kept for W / 2 tokens.
-
-Naming. Windows are named by recursion over triples of names (triple_names). An anchor row carries the name (hash) of its k-gram and the name of its context, the tokens of all windows of its
-run. Rows are sorted by names: an anchor that occurs once starts no repeat. Rows with equal contexts have equal windows,
-so all but the first are covered as a whole. Contexts that differ but share the anchor are compared window by window:
-their texts are cut out once more, windows are named, and the least place under each name wins.
-
-Skew. Occurrences are counted with partial sums and joined back by sort-merge join, whose skewed partitions Spark splits.
-Anchors with more than `hot` different contexts are compared by window name across the cluster (partial minimum, then a
-join); all others in buckets of anchors, whose groups have at most `hot` contexts.
+equal ones). The choice depends on the window's content alone, so equal windows have equal anchors at equal distances
+(a synchronising set). Neighbouring windows share anchors: an anchor stands for a run of windows, and about one anchor is
+kept for W / 2 tokens.
+
+Extension. Rows meet where they share a core: strings of tokens that all windows of the row hold at the same place. The first
+core is the anchor. Rows of a core that nobody else has are done. Rows with equal content (all tokens of their
+windows) repeat as a whole: all but the first are covered. What else shares a core is extended: the windows of a row are dealt
+into three parts by the anchor's place in them, and the windows of a part share a core that is longer on both
+sides. For W - k + 1 = 81 places the parts hold 27, 9, 3 and 1 windows, so after four steps the core is the window itself.
+A step makes at most three rows of one, and only of rows that share a core with other contents.
+
+Equality is that of 64-bit hashes of contents among rows with equal 64-bit hashes of cores. Tokens are bytes, or
+words by a 64-bit hash.
+
+Skew. Cores and contents are counted with partial aggregates that are joined back by sort-merge joins, whose skewed
+partitions Spark splits; no group is gathered in a task, however many rows share a core.
 """
 
 from __future__ import annotations
@@ -21,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, slices, text_or_empty, width
+from streamloom.llm.common import Staged, slices, text_or_empty
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 PLACE_BITS = 24
 PLACE_MASK = (1 << PLACE_BITS) - 1
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -69,26 +74,6 @@ class Hashes:
         return mixed((self.sums[k:] - self.sums[:-k]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
-def triple_names(tokens: np.ndarray, length: int) -> np.ndarray:
-    """Name of the `length` tokens at each place, by recursion: triples of tokens get names, triples of names get names, and so on.
-
-    Names are hashes, so places are named without a sort and alike in every task. The last level's names cover the length
-    with two that overlap.
-    """
-    names, size, level = tokens, 1, np.uint64(1)
-    while 3 * size <= length:
-        n = len(names) - 2 * size
-        if n < 1:
-            return np.zeros(0, np.uint64)
-        names = mixed((names[:n] * np.uint64(BASE) + names[size : size + n]) * np.uint64(BASE) + names[2 * size : 2 * size + n] + level)
-        size, level = 3 * size, level + np.uint64(1)
-    n = len(tokens) - length + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    middle, last = names[: n + length - size][size : size + n] if 2 * size < length else names[:n], names[length - size : length - size + n]
-    return mixed((names[:n] * np.uint64(BASE) + middle) * np.uint64(BASE) + last)
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x) - w + 1
     padded = np.concatenate([x, np.full(-len(x) % w, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, w)
@@ -137,15 +122,20 @@ class Kind:
         return BYTE_VALUES[raw] if self.name == "bytes" else raw
 
 
+def content(hashes: Hashes, at: np.ndarray, n: np.ndarray, o: np.ndarray, window: int) -> np.ndarray:
+    """Hash of all tokens of the n windows from `at` on, whose first one has its anchor at place o."""
+    return hashes.of(at, at + n - 1 + window) + mixed((o * 4096 + n).astype(np.uint64))
+
+
 def anchors(tokens: np.ndarray, ends: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
     """Anchor runs of the documents that end at ends in tokens: document number, first window (in its document), number of
-    windows, name of the anchor, name of the context."""
+    windows, place of the anchor in the first window, hash of the anchor, hash of the run's tokens."""
     n_windows = len(tokens) - window + 1
     start = np.concatenate([[0], ends[:-1]])
     per = np.maximum(np.diff(np.concatenate([[0], ends])) - window + 1, 0)
     empty = np.zeros(0, np.int64)
     if n_windows < 1 or not per.sum():
-        return {"doc": empty, "lo": empty, "n": empty, "ah": empty.astype(np.uint64), "ch": empty.astype(np.uint64)}
+        return {"doc": empty, "lo": empty, "n": empty, "o": empty, "ah": empty.astype(np.uint64), "ch": empty.astype(np.uint64)}
     hashes = Hashes(tokens)
     grams = hashes.grams(gram)
     place = np.uint64(PLACE_MASK) - np.arange(len(grams), dtype=np.uint64)
@@ -156,8 +146,7 @@ def anchors(tokens: np.ndarray, ends: np.ndarray, window: int, gram: int) -> dic
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]))
     n = np.diff(np.append(first, len(a)))
     lo, a, doc = p[first], a[first], doc[first]
-    context = hashes.of(lo, lo + n - 1 + window) + mixed(((a - lo) * 4096 + n).astype(np.uint64))
-    return {"doc": doc, "lo": lo - start[doc], "n": n, "ah": grams[a], "ch": context}
+    return {"doc": doc, "lo": lo - start[doc], "n": n, "o": a - lo, "ah": grams[a], "ch": content(hashes, lo, n, a - lo, window)}
 
 
 def chunks(raws: list[np.ndarray]):
@@ -180,7 +169,7 @@ def long_parts(raw: np.ndarray, window: int):
 
 
 def anchor_rows(docs: DataFrame, kind: Kind) -> DataFrame:
-    """ah, ch, id, lo, n for every anchor run of every document."""
+    """core, content, id, lo, n, o for every anchor run of every document."""
 
     def run(batches):
         for b in slices(batches):
@@ -196,15 +185,39 @@ def anchor_rows(docs: DataFrame, kind: Kind) -> DataFrame:
             for i, j in chunks(raws):
                 x = anchors(kind.values(np.concatenate(raws[i:j])), np.cumsum([len(r) for r in raws[i:j]]), kind.window, kind.gram)
                 own_ids, own_shift = np.array(ids[i:j], np.int64), np.array(shift[i:j], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x["ah"].view(np.int64)), pa.array(x["ch"].view(np.int64)), pa.array(own_ids[x["doc"]]), pa.array(x["lo"] + own_shift[x["doc"]]), pa.array(x["n"].astype(np.int32))], names=["ah", "ch", "id", "lo", "n"])
+                yield batch(ROW, x["ah"], x["ch"], own_ids[x["doc"]], x["lo"] + own_shift[x["doc"]], x["n"], x["o"])
+
+    return docs.mapInArrow(run, ROW)
+
+
+ROW = "core long, content long, id long, lo long, n int, o int"
+
 
-    return docs.mapInArrow(run, "ah long, ch long, id long, lo long, n int")
+def batch(schema: str, *columns) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    kinds = [{"long": np.int64, "int": np.int32}[k] for k in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(columns, kinds)], names=list(names))
+
+
+def judged(rows: DataFrame, within: bool, staged: Staged, tag: str) -> DataFrame:
+    """Of rows (core, content, id, lo, ...) those that are covered, and those that share a core with other contents (not covered)."""
+    cores = rows.groupBy(F.col("core").alias("c_core")).agg(F.count("*").alias("times"), (F.min("content") < F.max("content")).alias("mixed")).where("times > 1").drop("times")
+    cores = staged.write(cores, f"cores-{tag}")
+    shared = staged.write(rows.join(cores.hint("merge"), F.col("core") == F.col("c_core")).drop("c_core"), f"shared-{tag}")
+    staged.drop(f"cores-{tag}")
+    classes = shared.groupBy(F.col("core").alias("c_core"), F.col("content").alias("c_content")).agg(F.min(F.struct("id", "lo")).alias("first"))
+    covered = F.struct("id", "lo") > F.col("first") if within else F.col("id") > F.col("first.id")
+    out = shared.join(classes.hint("merge"), (F.col("core") == F.col("c_core")) & (F.col("content") == F.col("c_content")))
+    out = out.withColumn("covered", covered).where("covered OR mixed").drop("c_core", "c_content", "core", "content", "first", "mixed")
+    out = staged.write(out, f"judged-{tag}")
+    staged.drop(f"shared-{tag}")
+    return out
 
 
 def cut_contexts(wanted: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
-    """The rows of wanted with their context's tokens."""
-    per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("ah", "lo", "n", "is_hot")).alias("rows"))
-    joined = docs.join(per_doc, "id")
+    """The rows of wanted (id, lo, n, o) with the tokens of their windows, and the places that their anchors may have."""
+    per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("lo", "n", "o")).alias("rows"))
+    joined = docs.join(per_doc.hint("merge"), "id")
 
     def run(batches):
         for b in slices(batches):
@@ -214,98 +227,69 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
                 for r in rows:
                     if r["lo"] + r["n"] + kind.window - 1 > len(raw):
                         continue  # of another text under the same id
-                    out.append((r["ah"], i, r["lo"], r["n"], r["is_hot"], raw[r["lo"] : r["lo"] + r["n"] + kind.window - 1].tobytes()))
+                    out.append((i, r["lo"], r["o"], raw[r["lo"] : r["lo"] + r["n"] + kind.window - 1].tobytes(), [{"f": r["o"] - r["n"] + 1, "l": r["o"]}]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["ah", "id", "lo", "n", "is_hot", "context"])
-
-    return joined.select("id", "text", "rows").mapInArrow(run, "ah long, id long, lo long, n int, is_hot boolean, context binary")
-
-
-def window_names(b, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name of each window of the context rows, its row and its place in the document."""
-    n, lo = b.column("n").to_numpy().astype(np.int64), b.column("lo").to_numpy()
-    names = []
-    contexts = [np.frombuffer(c, kind.unit) for c in b.column("context").to_pylist()]
-    for i, j in chunks(contexts):
-        named = triple_names(kind.values(np.concatenate(contexts[i:j])), kind.window)
-        lengths = np.array([len(c) for c in contexts[i:j]])
-        base = np.repeat(np.cumsum(lengths) - lengths, n[i:j])
-        at = base + np.arange(len(base)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
-        names.append(named[at])
-    row = np.repeat(np.arange(len(n)), n)
-    place = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return np.concatenate(names) if names else np.zeros(0, np.uint64), row, place
-
-
-def later(name: np.ndarray, ids: np.ndarray, place: np.ndarray, within: bool) -> np.ndarray:
-    """Which windows have an earlier one of the same name: in a smaller document, or (within) also earlier in their own."""
-    order = np.lexsort((place, ids, name))
-    s_name, s_id, s_place = name[order], ids[order], place[order]
-    head = np.concatenate([[True], s_name[1:] != s_name[:-1]])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    out = np.empty(len(name), bool)
-    out[order] = (s_id > s_id[first]) | (within & (s_place > s_place[first]) & (s_id == s_id[first]))
-    return out
-
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), RANGES))], names=["id", "lo", "o", "tokens", "ranges"])
 
-def runs_of(ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Maximal runs of consecutive windows: id, lo, n."""
-    order = np.lexsort((place, ids))
-    ids, place = ids[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (place[1:] != place[:-1] + 1)])) if len(ids) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(place[first]), pa.array(np.diff(np.append(first, len(ids))).astype(np.int32))], names=["id", "lo", "n"])
+    cut = joined.select("id", "text", "rows").mapInArrow(run, "id long, lo long, o int, tokens binary, ranges array<struct<f:int,l:int>>")
+    return cut.withColumn("context", F.monotonically_increasing_id())
 
 
-def compare_in_buckets(contexts: DataFrame, kind: Kind, within: bool, n_buckets: int) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        b = t.combine_chunks()
-        name, row, place = window_names(b, kind)
-        ids = b.column("id").to_numpy()[row]
-        hit = later(name, ids, place, within)
-        return pa.Table.from_batches([runs_of(ids[hit], place[hit])])
+RANGES = pa.list_(pa.struct([("f", pa.int32()), ("l", pa.int32())]))
+PART = ROW + ", context long"
 
-    bucketed = contexts.withColumn("bucket", F.pmod(F.xxhash64("ah"), F.lit(n_buckets)))
-    return bucketed.groupBy("bucket").applyInArrow(run, "id long, lo long, n int")
 
+def parts(contexts: DataFrame, kind: Kind, size: int) -> DataFrame:
+    """The windows of contexts in parts: those of a part have their anchors at `size` neighbouring places at most, and so share a
+    core. ranges: of each context the first and last places of anchors that are wanted."""
+    last = kind.window - kind.gram
 
-def compare_by_name(contexts: DataFrame, kind: Kind, within: bool) -> DataFrame:
     def run(batches):
-        for b in slices(batches):
-            name, row, place = window_names(b, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(b.column("id").to_numpy()[row]), pa.array(place)], names=["name", "id", "lo"])
-
-    rows = contexts.mapInArrow(run, "name long, id long, lo long")
-    least = rows.groupBy(F.col("name").alias("least_name")).agg(F.min(F.struct("id", "lo")).alias("least"), F.count("*").alias("times")).where("times > 1")
-    joined = rows.join(least, F.col("name") == F.col("least_name"))
-    after = F.struct("id", "lo") > F.col("least") if within else F.col("id") > F.col("least.id")
-    return joined.where(after).select("id", "lo", F.lit(1).cast("int").alias("n"))
-
-
-def repeated_windows(docs: DataFrame, kind: Kind, within: bool, staged: Staged, hot: int = 2048) -> DataFrame:
+        for whole in slices(batches):
+            tokens = [np.frombuffer(c, kind.unit) for c in whole.column("tokens").to_pylist()]
+            for i, j in chunks(tokens):
+                b = whole.slice(i, j - i)
+                hashes = Hashes(kind.values(np.concatenate(tokens[i:j])))
+                lengths = np.array([len(t) for t in tokens[i:j]])
+                base = np.cumsum(lengths) - lengths
+                ranges = b.column("ranges")
+                row = np.repeat(np.arange(j - i), ranges.value_lengths().to_numpy(zero_copy_only=False))
+                f, l = (ranges.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "fl")
+                first, many = f // size, l // size - f // size + 1
+                take = np.repeat(np.arange(len(row)), many)
+                block = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(take))
+                row, f, l = row[take], np.maximum(f[take], block * size), np.minimum(l[take], block * size + size - 1)
+                o = b.column("o").to_numpy().astype(np.int64)[row]
+                anchor, n = base[row] + o, l - f + 1
+                core = hashes.of(anchor - block * size, anchor - np.minimum(block * size + size - 1, last) + kind.window)
+                core = mixed(core + (block + 1).astype(np.uint64) * np.uint64(BASE))
+                ids, lo, context = (b.column(c).to_numpy()[row] for c in ("id", "lo", "context"))
+                yield batch(PART, core, content(hashes, anchor - l, n, l, kind.window), ids, lo + o - l, n, l, context)
+
+    return contexts.mapInArrow(run, PART)
+
+
+def repeated_windows(docs: DataFrame, kind: Kind, within: bool, staged: Staged) -> DataFrame:
     """id, lo, n: runs of windows that also start earlier. docs: id (long, not null), text (not null)."""
-    spark = docs.sparkSession
-    rows = anchor_rows(docs, kind)
-    often = staged.write(rows.groupBy("ah").agg(F.count("*").alias("times")).where("times > 1").select(F.col("ah").alias("often")), "often")
-    shared = staged.write(rows.join(often.hint("merge"), F.col("ah") == F.col("often")).drop("often"), "shared")
-    staged.drop("often")
-
-    classes = staged.write(shared.groupBy("ah", "ch").agg(F.min(F.struct("id", "lo")).alias("first")), "classes")
-    several = classes.groupBy(F.col("ah").alias("several")).agg(F.count("*").alias("c")).where("c > 1").select("several", (F.col("c") > hot).alias("is_hot"))
-    classes = classes.join(several.hint("merge"), F.col("ah") == F.col("several"), "left")
-    classes = classes.select(F.col("ah").alias("c_ah"), F.col("ch").alias("c_ch"), "first", "is_hot", F.col("several").isNotNull().alias("compare"))
-    members = shared.join(classes.hint("merge"), (F.col("ah") == F.col("c_ah")) & (F.col("ch") == F.col("c_ch")))
-    covered = F.struct("id", "lo") > F.col("first") if within else F.col("id") > F.col("first.id")
-    judged = staged.write(members.select("ah", "id", "lo", "n", "is_hot", covered.alias("covered"), "compare").where("covered OR compare"), "judged")
-    staged.drop("classes")
-    staged.drop("shared")
-
-    contexts = staged.write(cut_contexts(judged.where("NOT covered").select("ah", "id", "lo", "n", "is_hot"), docs, kind), "contexts")
-    n_rows = contexts.count()
-    cold = compare_in_buckets(contexts.where("NOT is_hot"), kind, within, width(spark, n_rows, 16384) * 2)
-    found = cold.unionByName(compare_by_name(contexts.where("is_hot"), kind, within))
-    out = staged.write(judged.where("covered").select("id", "lo", "n").unionByName(found), "repeats")
-    staged.drop("judged")
-    staged.drop("contexts")
+    rows = staged.write(anchor_rows(docs, kind), "rows")
+    now = judged(rows, within, staged, "anchors")
+    staged.drop("rows")
+    found = now.where("covered").select("id", "lo", "n")
+    contexts = staged.write(cut_contexts(now.where("NOT covered").select("id", "lo", "n", "o"), docs, kind), "contexts-0")
+    size = kind.window - kind.gram + 1
+    while size > 1:
+        before, size = size, -(-size // 3)
+        rows = staged.write(parts(contexts, kind, size), f"parts-{size}")
+        now = judged(rows, within, staged, f"step-{size}")
+        staged.drop(f"parts-{size}")
+        found = found.unionByName(now.where("covered").select("id", "lo", "n"))
+        if size == 1 or now.where("NOT covered").isEmpty():
+            break
+        left = now.where("NOT covered").groupBy(F.col("context").alias("l_context")).agg(F.collect_list(F.struct((F.col("o") - F.col("n") + 1).alias("f"), F.col("o").alias("l"))).alias("ranges"))
+        kept = contexts.drop("ranges").join(left.hint("merge"), F.col("context") == F.col("l_context")).drop("l_context")
+        contexts = staged.write(kept, f"contexts-{size}")
+        staged.drop("contexts-0" if before == kind.window - kind.gram + 1 else f"contexts-{before}")
+    out = staged.write(found, "repeats")
     return out
 
 

@@ -46,10 +46,7 @@ def expected_words(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_substring_dedup(messy, hot, monkeypatch):
-    find = windows.repeated_windows
-    monkeypatch.setattr(substrings, "repeated_windows", lambda *a: find(*a, hot=hot))
+def test_substring_dedup(messy):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(substrings.substring_dedup(messy)))
     # two documents without an id share one: they do not remove words of each other
     assert got == expected_words(documents(messy))
@@ -77,10 +74,7 @@ def expected_bytes(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_suffix_dedup(messy, hot, monkeypatch):
-    find = windows.repeated_windows
-    monkeypatch.setattr(suffixes, "repeated_windows", lambda *a: find(*a, hot=hot))
+def test_suffix_dedup(messy):
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rows_of(suffixes.suffix_dedup(messy)))
     assert got == expected_bytes(documents(messy))
 
@@ -385,3 +379,30 @@ def test_empty_tables(empty, tokenizer):
     assert quality.quality_rules(empty).count() == 0
     assert shards.shard(empty).count() == 0
     assert mixing.mix(empty).count() == 0
+
+
+# -- many surroundings of one passage --
+
+
+def test_one_passage_in_many_surroundings(spark):
+    """One seed with more contexts than anything gathers in a task: each is told apart, in both engines."""
+    rng = np.random.default_rng(8)
+    passage = " ".join("p" + str(rng.integers(1000)) for _ in range(30))
+    rows = []
+    for i in range(600):
+        before, after = (" ".join("w" + str(rng.integers(6)) for _ in range(12)) for _ in range(2))
+        rows.append((i, f"{before} {passage[rng.integers(4) :]} {after}"))
+    rows += [(600, rows[0][1]), (601, rows[3][1][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(substrings.substring_dedup(docs)))
+    assert got == expected_words(rows)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rows_of(suffixes.suffix_dedup(docs)))
+    assert got == expected_bytes(rows)
+
+
+def test_repeats_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = documents(docs)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(substrings.substring_dedup(docs))) == expected_words(rows)
+    got = rows_of(suffixes.suffix_dedup(docs))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == expected_bytes(rows)
