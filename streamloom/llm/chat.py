@@ -65,8 +65,20 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
     """Copy string i of data to out[to[i]:]."""
-    lengths = np.diff(off)
-    out[np.repeat(to - off[:-1], lengths) + np.arange(len(data))] = data
+    for i, j in spans(off):
+        lengths = np.diff(off[i : j + 1])
+        part = np.arange(off[i], off[j])
+        part += np.repeat(to[i:j] - off[i:j], lengths)
+        out[part] = data[off[i] : off[j]]
+
+
+def spans(off: np.ndarray, most: int = 1 << 22):
+    """Consecutive strings whose indices are made at once, so that these take little room beside the strings."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        yield i, min(j, n)
+        i = j
 
 
 def assemble(roles: pa.Array, texts: pa.Array, first_turn: np.ndarray):
@@ -89,6 +101,20 @@ def assemble(roles: pa.Array, texts: pa.Array, first_turn: np.ndarray):
     return made, text_at - np.repeat(conv_off[:-1], np.diff(first_turn)), t_len
 
 
+def in_parts(batches, most: int = 64 << 20):
+    """Batches in parts of about `most` bytes of texts (a single longer conversation is a part of its own)."""
+    for b in batches:
+        texts = b.column("texts")
+        ends = pc.cast(pc.fill_null(pc.binary_length(texts.flatten()), 0), pa.int64()).to_numpy(zero_copy_only=False).cumsum()
+        last = np.concatenate([[0], np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))])
+        size = np.concatenate([[0], ends])[last]
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, size[i] + most, "right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, n_turns, loss_start and loss_length (arrays; bytes in the UTF-8 of formatted)."""
     grouped = turns.select(F.col("conv_id").cast("long"), F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("row"))
@@ -96,7 +122,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     grouped = grouped.select("conv_id", F.col("rows.role").alias("roles"), F.col("rows.text").alias("texts"))
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             roles, texts = b.column("roles"), b.column("texts")
             first = np.concatenate([[0], np.cumsum(pc.list_value_length(roles).to_numpy(zero_copy_only=False))]).astype(np.int64)
             flat = roles.flatten()
@@ -142,3 +168,15 @@ def op4_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return digests(format_chats(turns.unionByName(extra)))
+
+
+OP4_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length('<|im_start|>') + 1 + length('<|im_end|>') + 1
+  + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '{ESCAPE}', '\1\\\2\3', 'g'))
+  + length(regexp_replace(text, '{ESCAPE}', '\1\\\2\3', 'g')) AS n FROM t),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{LOSS_ROLE}'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM f GROUP BY 1)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""

@@ -18,14 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local sessions get a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="streamloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: What stands for a null id where ids are compared: it sorts first.
+NO_ID = -(1 << 63)
+
+
+def id_order(col: str = "doc_id"):
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
+
+
+def id_or_null(col: str):
+    return F.when(F.col(col) != NO_ID, F.col(col))
+
+
 class Staged:
     """Tables written to the shared folder, which cut lineage: a lost executor costs a reread, not a recomputation."""
 

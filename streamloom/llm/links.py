@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.llm.common import Staged
 
 
-def components(links: DataFrame, staged: Staged, tag: str = "cc", max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, staged: Staged, tag: str = "cc") -> DataFrame:
     """node, label: the smallest node that a node reaches. links: columns a, b (long); nodes without links are not listed.
 
     A step sends each node's neighbours to the smallest of them; the minimum is a partial aggregate joined back by a
@@ -16,7 +18,7 @@ def components(links: DataFrame, staged: Staged, tag: str = "cc", max_rounds: in
     """
     edges = staged.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), f"{tag}-0")
     last, name = None, f"{tag}-0"
-    for i in range(1, max_rounds):
+    for i in count(1):  # until a round changes nothing
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))

@@ -10,15 +10,17 @@ Signatures of BANDS * ROWS registers are banded; equal texts are folded to one b
 compared with one centre c, the one that shares most buckets with others, so a group of copies costs one comparison a document.
 
 Other links of a bucket are found as follows. The rest of a bucket (all but its centre) whose documents are not of one
-component yet is left over. Rests of at most `small` documents are settled at once, each in one task. The documents of all
-larger ones go through a prefix join, which is exact: with the elements of a document of size n in one order for all
-documents, rarest first, two linked documents share one of their first n - ceil(s n) + 1 elements (s: the threshold). Documents
-are bucketed by these; a bucket of several components is dealt out in pairs of blocks, the documents of its most common
-component against the others and the others among themselves, so no task holds more than two blocks. How often elements
-occur is counted in SLOTS hashed counters; a collision changes the order, and so the work, but not the links.
+component yet is left over. Rests of at most `small` documents are compared as they are, each in one task. The documents of all
+larger ones go through a prefix join. Both are exact, so the size of a rest decides the work and not the links. In the
+prefix join, with the elements of a document of size n in one order for all documents, rarest first, two linked documents
+share one of their first n - ceil(s n) + 1 elements (s: the threshold). Documents are bucketed by these; elements that only one
+document has are passed over, and the documents of one component that share an element travel as one row. A bucket of
+several components is dealt out in pairs of blocks, the documents of its most common component against the others and the
+others among themselves, so no task holds more than two blocks. How often elements occur is counted in SLOTS hashed
+counters; a collision changes the order, and so the work, but not the links.
 
 Defined cases: null text has no shingle; documents without words link with nothing; rows that repeat a document are
-copies of each other; null doc_id sorts first; an empty table gives an empty table; other columns are not looked at.
+copies of each other; null doc_id sorts first and stays null, as does the component_id of its group; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, slices, table, text_or_empty
+from streamloom.llm.common import Staged, id_or_null, id_order, slices, table, text_or_empty, width
 from streamloom.llm.links import components
 from streamloom.llm.windows import Hashes, chunks, mixed, text_bytes, word_tokens
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
 SLOTS = 1 << 20
+MARK = 0x5851F42D4C957F2D
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +174,11 @@ def lists(column) -> list[np.ndarray]:
 
 
 def rarest_first(e: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The elements of which a linked document has one at least among its own."""
+    """The elements of which a linked document has one at least among its own; without those that no other document has."""
     need = int(np.ceil(THRESHOLD * len(e) - 1e-6))
-    return e[np.lexsort((e, often[slots(e)]))[: len(e) - need + 1]]
+    times = often[slots(e)]
+    order = np.lexsort((e, times))[: len(e) - need + 1]
+    return e[order[times[order] > 1]]
 
 
 def joined_by_prefix(left: DataFrame, texts: DataFrame, staged: Staged, block: int = 256) -> DataFrame:
@@ -186,7 +191,9 @@ def joined_by_prefix(left: DataFrame, texts: DataFrame, staged: Staged, block: i
             found = [elements(t).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), pa.array(found, pa.list_(pa.int64()))], names=["node", "label", "elements"])
 
-    sets = staged.write(with_text.mapInArrow(read, "node long, label long, elements array<long>"), "prefix-sets")
+    # neighbours in the order of label are of one component; a large component is spread over several ranges
+    near = with_text.repartitionByRange(width(spark, 0, 1), "label", "node").sortWithinPartitions("label", "node")
+    sets = staged.write(near.mapInArrow(read, "node long, label long, elements array<long>"), "prefix-sets")
 
     def tally(batches):
         for b in slices(batches):
@@ -199,18 +206,27 @@ def joined_by_prefix(left: DataFrame, texts: DataFrame, staged: Staged, block: i
     often = spark.sparkContext.broadcast(counts)
 
     def cut(batches):
-        for b in slices(batches):
-            first = [rarest_first(e, often.value).view(np.int64) for e in lists(b.column("elements"))]
-            take = pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), b.column("node").take(take), b.column("label").take(take)], names=["g", "node", "label"])
-
-    by_element = staged.write(sets.mapInArrow(cut, "g long, node long, label long"), "prefix-buckets")
-    shares = by_element.groupBy("g", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set"))
-    several = shares.groupBy(F.col("g").alias("s_g")).agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("set").alias("set")).where("labels > 1")
+        for b in slices(batches, 4000):
+            node, label = b.column("node").to_numpy(), b.column("label").to_numpy()
+            first = [rarest_first(e, often.value) for e in lists(b.column("elements"))]
+            row, g = np.repeat(np.arange(len(first)), [len(x) for x in first]), np.concatenate(first)
+            order = np.lexsort((node[row], label[row], g))
+            row, g = row[order], g[order]
+            own = label[row]
+            head = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool), (g[1:] != g[:-1]) | (own[1:] != own[:-1])]))
+            nodes = pa.ListArray.from_arrays(pa.array(np.append(head, len(g)).astype(np.int32)), pa.array(node[row]))
+            tags = [np.add.reduceat(mixed(node[row].view(np.uint64) ^ np.uint64(t)) >> np.uint64(24), head) if len(g) else g for t in (0, MARK)]
+            yield pa.RecordBatch.from_arrays([pa.array(g[head].view(np.int64)), pa.array(own[head]), nodes, *(pa.array(t.view(np.int64)) for t in tags)], names=["g", "label", "nodes", "t1", "t2"])
+
+    by_element = staged.write(sets.mapInArrow(cut, "g long, label long, nodes array<long>, t1 long, t2 long"), "prefix-buckets")
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+    shares = by_element.groupBy("g", "label").agg(F.sum(F.size("nodes")).alias("n"), total("t1"), total("t2"))
+    several = shares.groupBy(F.col("g").alias("s_g")).agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("t1").alias("t1"), F.sum("t2").alias("t2")).where("labels > 1")
     # one of the buckets that hold the same documents
-    several = several.groupBy("size", "set").agg(F.min(F.struct("s_g", "most")).alias("b")).select(F.col("b.s_g").alias("s_g"), "size", F.col("b.most.n").alias("n_main"), F.col("b.most.label").alias("main"))
+    several = several.groupBy("size", "t1", "t2").agg(F.min(F.struct("s_g", "most")).alias("b")).select(F.col("b.s_g").alias("s_g"), "size", F.col("b.most.n").alias("n_main"), F.col("b.most.label").alias("main"))
     parts = lambda n: F.ceil(n / block).cast("int")
-    placed = by_element.join(several.hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", (F.col("label") == F.col("main")).alias("is_main"), parts(F.col("n_main")).alias("mains"), parts(F.col("size") - F.col("n_main")).alias("others"))
+    met = by_element.join(several.hint("merge"), F.col("g") == F.col("s_g"))
+    placed = met.select("g", "label", F.explode("nodes").alias("node"), "main", "n_main", "size").select("g", "node", (F.col("label") == F.col("main")).alias("is_main"), parts(F.col("n_main")).alias("mains"), parts(F.col("size") - F.col("n_main")).alias("others"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     pair = lambda u, v: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"))
     # a pair of blocks: one of the most common component (from 0) and one of the others, or two of the others (below 0)
@@ -274,10 +290,10 @@ def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: id, h1, h2, rid (its number), component_id (smallest id of its group), kept (one of each group)."""
+    """One row per row of docs: id (NO_ID for null), h1, h2, rid (its number), component_id (smallest id of its group), kept (one of each group)."""
     spark = docs.sparkSession
     staged = Staged(spark, "minhash")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), text_or_empty().alias("text"))
+    rows = docs.select(id_order().alias("id"), text_or_empty().alias("text"))
     signed = staged.write(signature_rows(rows).withColumn("rid", F.monotonically_increasing_id()), "signed")
     # equal texts are one class, represented by its first row
     classes = staged.write(signed.where("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("id", "rid")).alias("first")).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.rid").alias("node")), "classes")
@@ -306,11 +322,23 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one of each group (and one of rows that repeat a document)."""
     judged = near_duplicates(docs).where("kept").select(F.col("id").alias("k_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct()
     text = text_or_empty()
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(5))})
+    rows = docs.withColumns({"__id": id_order(), "__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(5))})
     on = (F.col("__id") == F.col("k_id")) & (F.col("__h1") == F.col("k1")) & (F.col("__h2") == F.col("k2"))
     return rows.join(judged.hint("merge"), on, "left_semi").dropDuplicates(["__id", "__h1", "__h2"]).select(*docs.columns)
 
 
 def op10_minhash(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "component_id", "kept")
+    return out.select(id_or_null("id").alias("doc_id"), id_or_null("component_id").alias("component_id"), "kept")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+e AS (SELECT doc_id, k, count(*) AS c FROM s GROUP BY 1, 2),
+n AS (SELECT doc_id, sum(c) AS n FROM e GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS met FROM e a JOIN e b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE met / (na.n + nb.n - met) >= 0.8),
+r AS (SELECT doc_id AS node, doc_id AS label FROM d UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.node WHERE r.label < l.b)
+SELECT node AS doc_id, min(label) AS component_id, node = min(label) AS kept FROM r GROUP BY node
+"""

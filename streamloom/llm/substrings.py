@@ -56,3 +56,15 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def op2_substring_dedup(spark, sf_dir):
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM w JOIN f USING (k) WHERE doc_id > first),
+g AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY 1),
+kept AS (SELECT d.doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) d ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.p = d.p GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -55,3 +55,18 @@ def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = (), decode: bool = Fal
 def op6_suffix_dedup(spark, sf_dir):
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(h[2 * i - 1:2 * i + 198]) AS k FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 98)) AS i FROM d)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM w GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE (doc_id, i) > first),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM hit),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM r GROUP BY 1, 2),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS p, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM spans),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(h[2 * p - 1:2 * a - 2] || CASE WHEN last THEN h[2 * b - 1:] ELSE '' END, '' ORDER BY a) AS k FROM cuts JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

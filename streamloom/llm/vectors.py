@@ -1,19 +1,22 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Equal vectors are folded into one node with a weight. Centroids are fitted on a bounded sample (`sample_rows` rows); every
-node joins the shards of its `overlap` nearest centroids. In a shard the nearest neighbours of each node are its candidates,
+Equal vectors are folded into one node with a weight. Centroids are fitted on a bounded sample (`sample_rows` rows a length,
+`model_bytes` in all); every node joins the shards of its `overlap` nearest centroids. Shards that hold more than three times
+`shard_rows` are split before anything is gathered in a task: centroids of their own are fitted on a bounded
+sample of each, all shards at once, and every node goes to the nearest two, until no shard is too large. Vectors of a length
+that few rows have form one shard without centroids. In a shard the nearest neighbours of each node are its candidates,
 and robust pruning keeps those that no kept neighbour is much closer to; the adjacency lists of a node from all its shards
 are united. Then every node is a query: in each of its shards (and the next nearest ones, `probes` in all) a greedy beam search
 from the shard's medoid, from the query itself where it is a member, and from a node of each part of the graph that no edge
-leads into (`entries`: all nodes can be reached from these) finds the query's surroundings, and the search expands through neighbours for as long as they are within
-the threshold. Pairs found are verified with cosines in double precision. Shards that outgrow `shard_rows` by three
-are cut again by centroids of their own.
+leads into (`entries`: all nodes can be reached from these) finds the query's surroundings, and the search expands through
+neighbours for as long as they are within the threshold. Pairs found are verified with cosines in double precision. A pair is
+kept once, from its smaller to its larger node; links of copies are counted by weight.
 
 `audit` measures recall against brute force for the queries whose id is divisible by 20.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different
-lengths do not link; rows that repeat a vector are links of each other, whatever their ids; null vec_id sorts first; an
-empty table gives an empty table; other columns are not looked at.
+lengths do not link; rows that repeat a vector are links of each other, whatever their ids; null vec_id sorts first and stays
+null, as does the component_id of its group; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, table
+from streamloom.llm.common import Staged, id_or_null, id_order, table
 from streamloom.llm.links import components
+from streamloom.llm.windows import mixed
 
 THRESHOLD = 0.9
 
@@ -33,7 +37,7 @@ def nodes_of(vectors: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
     """Rows (id, rid, v1, v2: hashes of usable vectors) and nodes (node, weight, v: unit vector in double precision)."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     usable = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v"))
+    rows = vectors.select(id_order("vec_id").alias("id"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v"))
     rows = staged.write(rows.select("*", F.xxhash64("v").alias("v1"), F.xxhash64("v", F.lit(5)).alias("v2"), F.monotonically_increasing_id().alias("rid")), "rows")
     firsts = rows.where("v IS NOT NULL").groupBy("v1", "v2").agg(F.min(F.struct("id", "rid")).alias("first"), F.count("*").alias("weight"))
     firsts = firsts.select("v1", "v2", F.col("first.id").alias("node_id"), F.col("first.rid").alias("node"), "weight")
@@ -72,18 +76,24 @@ def neighbours(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     return out
 
 
-def robust_prune(x: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
+def robust_prune(x: np.ndarray, candidates: np.ndarray, degree: int, alpha: float, block: int = 256) -> list[np.ndarray]:
+    """See pruned; a block of rows at a time, so that the gathered candidates take bounded room."""
+    return [c for i in range(0, len(x), block) for c in pruned(x, np.arange(i, min(i + block, len(x))), candidates[i : i + block], degree, alpha)]
+
+
+def pruned(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
     """Of each row's candidates those kept: a kept one drops later ones that are alpha times closer to it than to the row."""
-    dist = 1 - np.einsum("nd,nkd->nk", x, x[candidates]) if candidates.size else np.zeros(candidates.shape)
+    near = x[candidates] if candidates.size else np.zeros((*candidates.shape, x.shape[1]))
+    dist = 1 - np.matmul(near, x[own][:, :, None])[:, :, 0]
     alive, kept = np.ones(candidates.shape, bool), np.zeros(candidates.shape, bool)
-    rows = np.arange(len(x))
+    rows = np.arange(len(own))
     for _ in range(min(degree, candidates.shape[1])):
         has = alive.any(axis=1)
         if not has.any():
             break
         pick = alive.argmax(axis=1)  # nearest that is left
         kept[rows[has], pick[has]] = True
-        between = 1 - np.einsum("nd,nkd->nk", x[candidates[rows, pick]], x[candidates])
+        between = 1 - np.matmul(near, near[rows, pick][:, :, None])[:, :, 0]
         alive &= ~(has[:, None] & (alpha * between <= dist))
         alive[rows, pick] = False
     return [c[k] for c, k in zip(candidates, kept)]
@@ -188,62 +198,95 @@ def matrix(column: pa.Array) -> np.ndarray:
     return unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)) if len(flat) else np.zeros((0, 1))
 
 
-def links(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = 1500, max_shards: int = 65536, overlap: int = 3, probes: int = 4, sample_rows: int = 20000, degree: int = 24, alpha: float = 1.2, staged: Staged | None = None):
-    """Rows, first rows and links (a, b, each way) of the vectors of a table: see nodes_of."""
+def by_length(b: pa.RecordBatch):
+    """The rows of a batch for each length of v."""
+    dims = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims):
+        yield int(dim), b.filter(pa.array(dims == dim))
+
+
+PLACED = "shard long, member boolean, node long, v array<double>"
+
+
+def split_shards(placed: DataFrame, staged: Staged, shard_rows: int, sample_rows: int, seed: int) -> DataFrame | None:
+    """placed with all shards split that hold more than three times shard_rows members; None if there are none."""
+    sizes = staged.write(placed.where("member").groupBy(F.col("shard").alias("s_shard")).agg(F.count("*").alias("size")).where(F.col("size") > 3 * shard_rows), f"large-{seed}")
+    if sizes.isEmpty():
+        return None
+    large = placed.join(sizes.hint("merge"), F.col("shard") == F.col("s_shard")).drop("s_shard")
+    h = F.xxhash64("node", F.lit(seed))
+    some = large.where("member").where(F.shiftrightunsigned(h, 11) * F.lit(2.0**-53) < F.lit(float(sample_rows)) / F.col("size"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, size = matrix(t.column("v")), t.column("size")[0].as_py()
+        centers = k_means(x, min(max(4, -(-size // shard_rows)), max(4, len(x) // 8)))
+        return pa.table({"c_shard": pa.array([t.column("shard")[0].as_py()]), "centers": pa.array([centers.ravel().tolist()], pa.list_(pa.float64()))})
+
+    centers = some.select("shard", "size", "v").groupBy("shard").applyInArrow(fit, "c_shard long, centers array<double>")
+    # the nodes of a shard are dealt out, and its centroids go to each part
+    n_parts = F.ceil(F.col("size") / sample_rows).cast("int")
+    centers = centers.join(sizes.hint("merge"), F.col("c_shard") == F.col("s_shard")).withColumn("c_part", F.explode(F.sequence(F.lit(0), n_parts - 1))).select("c_shard", "c_part", "centers")
+    dealt = large.select("shard", F.pmod(F.xxhash64("node"), n_parts).cast("int").alias("part"), "member", "node", "v")
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"shard": pa.array([], pa.int64()), "member": pa.array([], pa.bool_()), "node": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})
+        x = matrix(left.column("v"))
+        two = np.argsort(-(x @ np.array(right.column("centers")[0].as_py()).reshape(-1, x.shape[1]).T), axis=1, kind="stable")[:, :2]
+        rep = left.take(pa.array(np.repeat(np.arange(len(x)), two.shape[1])))
+        own = mixed(np.repeat(left.column("shard").to_numpy(), two.shape[1]).view(np.uint64) + (two.ravel() + 1).astype(np.uint64))
+        return pa.table({"shard": pa.array(own.view(np.int64)), "member": rep.column("member"), "node": rep.column("node"), "v": rep.column("v")})
+
+    split = dealt.groupBy("shard", "part").cogroup(centers.groupBy("c_shard", "c_part")).applyInArrow(assign, PLACED)
+    # a node that comes to a shard by two ways is there once, as a member if either way says so
+    split = split.groupBy("shard", "node").agg(F.max("member").alias("member"), F.first("v").alias("v")).select("shard", "member", "node", "v")
+    rest = placed.join(sizes.hint("merge"), F.col("shard") == F.col("s_shard"), "left_anti")
+    return staged.write(rest.unionByName(split), f"split-{seed}")
+
+
+def links(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = 1500, overlap: int = 3, probes: int = 4, sample_rows: int = 20000, model_bytes: int = 32 << 20, degree: int = 24, alpha: float = 1.2, staged: Staged | None = None):
+    """Rows, first rows and links (a < b) of the vectors of a table: see nodes_of."""
     spark = vectors.sparkSession
     staged = staged or Staged(spark, "vectors")
     rows, nodes = nodes_of(vectors, staged)
-    counts = {r["dim"]: r["count"] for r in nodes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count")).limit(64).collect()}
+    # lengths that fill several shards: fewer than there are shards
+    counts = {r["dim"]: r["count"] for r in nodes.groupBy(F.size("v").alias("dim")).count().where(F.col("count") > 2 * shard_rows).collect()}
     centers: dict[int, np.ndarray] = {}
     for dim, n in counts.items():
-        k = int(min(max_shards, max(1, round(n / shard_rows))))
+        k = int(max(2, min(round(n / shard_rows), sample_rows // 8, model_bytes // (8 * dim * len(counts)))))
         some = nodes.where(F.size("v") == dim).select("v", F.xxhash64("node").alias("h")).orderBy("h").limit(sample_rows).toArrow()
         centers[dim] = k_means(matrix(some.column("v")), k)
-    first_shard, total = {}, 0
-    for dim in centers:
-        first_shard[dim], total = total, total + len(centers[dim])
-    model = spark.sparkContext.broadcast(centers)  # as large as max_shards makes it
+    model = spark.sparkContext.broadcast(centers)  # model_bytes at most
 
     def assign(batches):
-        for b in batches:
-            dims = np.array([len(v) for v in b.column("v")])
-            for dim in np.unique(dims):
-                if int(dim) not in model.value:
-                    continue
-                own = b.filter(pa.array(dims == dim))
-                near = matrix(own.column("v")) @ model.value[int(dim)].T
-                n = min(probes, near.shape[1])
-                order = np.argsort(-near, axis=1, kind="stable")[:, :n]
-                take = np.repeat(np.arange(len(own)), n)
-                is_member = np.tile(np.arange(n) < overlap, len(own))
-                rep = own.take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([pa.array((order.ravel() + first_shard[int(dim)]).astype(np.int32)), pa.array(is_member), rep.column("node"), rep.column("v")], names=["shard", "member", "node", "v"])
-
-    placed = staged.write(nodes.mapInArrow(assign, "shard int, member boolean, node long, v array<double>"), "placed")
+        for whole in batches:
+            for dim, own in by_length(whole):
+                if dim in model.value:
+                    near = matrix(own.column("v")) @ model.value[dim].T
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                else:
+                    order = np.zeros((len(own), 1), np.int64)
+                n = order.shape[1]
+                rep = own.take(pa.array(np.repeat(np.arange(len(own)), n)))
+                yield pa.RecordBatch.from_arrays([pa.array(order.ravel() + (dim << 32)), pa.array(np.tile(np.arange(n) < overlap, len(own))), rep.column("node"), rep.column("v")], names=["shard", "member", "node", "v"])
+
+    placed = staged.write(nodes.mapInArrow(assign, PLACED), "placed")
+    for level in range(1, 64):
+        split = split_shards(placed, staged, shard_rows, sample_rows, level)
+        if split is None:
+            break
+        placed = split
 
     def build(t: pa.Table) -> pa.Table:
         x, ids = matrix(t.column("v")), t.column("node").to_numpy()
         if len(x) < 2:
             return pa.table({"node": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64()))})
-        out: dict[int, list[np.ndarray]] = {}
-        # shards far over their size are cut again, each node into two parts
-        parts = [np.arange(len(x))]
-        if len(x) > 3 * shard_rows:
-            inner = x @ k_means(x[:sample_rows], -(-len(x) // shard_rows)).T
-            two = np.argsort(-inner, axis=1)[:, :2]
-            parts = [np.flatnonzero((two == c).any(axis=1)) for c in range(inner.shape[1])]
-        for part in parts:
-            if len(part) < 2:
-                continue
-            y = x[part]
-            for j, kept in zip(part, robust_prune(y, neighbours(y, 2 * degree), degree, alpha)):
-                out.setdefault(int(j), []).append(part[kept])
-        # edges both ways, so that every node can be reached
-        back: dict[int, list[int]] = {}
-        for j, lists in out.items():
-            for k in np.unique(np.concatenate(lists)).tolist():
-                back.setdefault(k, []).append(j)
-        near = [ids[np.unique(np.concatenate([*out.get(j, []), np.array(back.get(j, [])[: 2 * degree], np.int64)]).astype(np.int64))] for j in range(len(x))]
+        kept = robust_prune(x, neighbours(x, 2 * degree), degree, alpha)
+        # edges both ways; of many that lead to a node it answers the nearest ones
+        from_, to = np.repeat(np.arange(len(x)), [len(c) for c in kept]), np.concatenate(kept)
+        order = np.lexsort((-np.einsum("nd,nd->n", x[from_], x[to]), to))
+        back = np.split(from_[order], np.cumsum(np.bincount(to, minlength=len(x)))[:-1])
+        near = [ids[np.union1d(c, b[: 2 * degree])] for c, b in zip(kept, back)]
         return pa.table({"node": pa.array(ids), "near": pa.array(near, pa.list_(pa.int64()))})
 
     lists = placed.where("member").groupBy("shard").applyInArrow(build, "node long, near array<long>")
@@ -271,16 +314,22 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = 15
 
     searched = placed.join(graph.hint("merge"), F.col("node") == F.col("g_node"), "left").select("shard", "member", "node", "v", "near")
     found = staged.write(searched.groupBy("shard").applyInArrow(search, "a long, b long"), "found")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    pairs = staged.write(both, "pairs")
+    pairs = staged.write(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     return rows, staged.spark.read.parquet(f"{staged.root}/firsts"), pairs, staged
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """Each pair from both of its ends."""
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
     """vec_id, n_links (other rows linked directly), component_id, kept for each row of vectors."""
     rows, firsts, pairs, staged = links(vectors, threshold, **settings)
-    weights = firsts.select(F.col("node").alias("w_node"), "weight")
-    direct = pairs.join(weights.hint("merge"), F.col("b") == F.col("w_node")).groupBy(F.col("a").alias("d_node")).agg(F.sum("weight").alias("linked"))
+    # a pair counts one; nodes that stand for several rows count the others besides
+    heavy = firsts.where("weight > 1").select(F.col("node").alias("w_node"), (F.col("weight") - 1).alias("more"))
+    besides = ends(pairs).join(heavy.hint("merge"), F.col("b") == F.col("w_node")).select("a", F.col("more").alias("n"))
+    direct = ends(pairs).select("a", F.lit(1).cast("long").alias("n")).unionByName(besides).groupBy(F.col("a").alias("d_node")).agg(F.sum("n").alias("linked"))
     labels = components(pairs, staged)
     known = firsts.join(labels.select(F.col("node").alias("l_node"), "label").hint("merge"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
     least = known.groupBy(F.col("label").alias("m_label")).agg(F.min("node_id").alias("component"))
@@ -288,7 +337,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -
     known = known.select(F.col("v1").alias("k1"), F.col("v2").alias("k2"), "component", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.join(known.hint("merge"), F.col("v").isNotNull() & (F.col("v1") == F.col("k1")) & (F.col("v2") == F.col("k2")), "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), (component == F.col("id")).alias("kept"))
+    return out.select(id_or_null("id").alias("vec_id"), "n_links", id_or_null("component").alias("component_id"), "kept")
 
 
 def audit(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -> tuple[int, int]:
@@ -296,7 +346,7 @@ def audit(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -> tuple
     rows, firsts, pairs, staged = links(vectors, threshold, **settings)
     nodes = staged.spark.read.parquet(f"{staged.root}/nodes")
     asked = firsts.where("node_id % 20 = 0").select(F.col("node").alias("a"))
-    found = pairs.join(asked, "a").count()
+    found = ends(pairs).join(asked, "a").count()
     queries = nodes.join(asked, F.col("node") == F.col("a")).select("node", "v")
     there = 0
     for dim, n in [(r["dim"], r["count"]) for r in queries.groupBy(F.size("v").alias("dim")).count().collect()]:
@@ -316,3 +366,14 @@ def audit(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -> tuple
 
 def op9_near_vectors(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS label FROM v UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.node WHERE r.label < l.b),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY 1)
+SELECT node AS vec_id, (SELECT count(*) FROM l WHERE l.a = node) AS n_links, label AS component_id, node = label AS kept FROM c
+"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, slices, text_or_empty
+from streamloom.llm.common import Staged, id_order, slices, text_or_empty
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -295,7 +295,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, within: bool, staged: Staged)
 
 def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """id (null sorts first), text (null is empty), and the columns of keep under other names."""
-    return docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], id_order().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
 def with_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
