@@ -17,7 +17,7 @@ share one of their first n - ceil(s n) + 1 elements (s: the threshold). Document
 document has are passed over, and the documents of one component that share an element travel as one row. A bucket of
 several components is dealt out in pairs of blocks, the documents of its most common component against the others and the
 others among themselves, so no task holds more than two blocks. How often elements occur is counted in SLOTS hashed
-counters; a collision changes the order, and so the work, but not the links.
+counters of a byte; a collision changes the order, and so the work, but not the links.
 
 Defined cases: null text has no shingle; documents without words link with nothing; rows that repeat a document are
 copies of each other; null doc_id sorts first and stays null, as does the component_id of its group; an empty table gives an empty table; other columns are not looked at.
@@ -181,6 +181,14 @@ def rarest_first(e: np.ndarray, often: np.ndarray) -> np.ndarray:
     return e[order[times[order] > 1]]
 
 
+def counted(counts: list[np.ndarray]) -> pa.RecordBatch:
+    """The sum of counts, 255 at most, as a row of one binary."""
+    total = np.zeros(SLOTS, np.int64)
+    for c in counts:
+        total += c
+    return pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["counts"])
+
+
 def joined_by_prefix(left: DataFrame, texts: DataFrame, staged: Staged, block: int = 256) -> DataFrame:
     """Links a, b that connect the components of left (node, label) as all links between their documents do."""
     spark = staged.spark
@@ -196,13 +204,18 @@ def joined_by_prefix(left: DataFrame, texts: DataFrame, staged: Staged, block: i
     sets = staged.write(near.mapInArrow(read, "node long, label long, elements array<long>"), "prefix-sets")
 
     def tally(batches):
+        counts = np.zeros(SLOTS, np.int64)
         for b in slices(batches):
-            slot, n = np.unique(slots(np.concatenate(lists(b.column("elements")))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+            counts += np.bincount(slots(np.concatenate(lists(b.column("elements")))), minlength=SLOTS)
+        yield counted([np.minimum(counts, 255).astype(np.uint8)])
+
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([counted([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("counts")])])
 
-    counted = sets.select("elements").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-    counts = np.zeros(SLOTS, np.int64)
-    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    # one row of SLOTS bytes a task, added up in two steps: a group and the driver have about the root of the number of tasks
+    n_groups = int(np.sqrt(sets.rdd.getNumPartitions())) + 1
+    groups = sets.select("elements").mapInArrow(tally, "counts binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(n_groups))).applyInArrow(merge, "counts binary")
+    counts = np.frombuffer(counted([np.frombuffer(x.as_buffer(), np.uint8) for x in groups.toArrow().column("counts")]).column("counts")[0].as_buffer(), np.uint8)
     often = spark.sparkContext.broadcast(counts)
 
     def cut(batches):

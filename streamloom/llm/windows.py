@@ -205,11 +205,14 @@ def judged(rows: DataFrame, within: bool, staged: Staged, tag: str) -> DataFrame
     cores = staged.write(cores, f"cores-{tag}")
     shared = staged.write(rows.join(cores.hint("merge"), F.col("core") == F.col("c_core")).drop("c_core"), f"shared-{tag}")
     staged.drop(f"cores-{tag}")
-    classes = shared.groupBy(F.col("core").alias("c_core"), F.col("content").alias("c_content")).agg(F.min(F.struct("id", "lo")).alias("first"))
+    # contents of several rows, and the first of them; all others are alone
+    classes = shared.groupBy(F.col("core").alias("c_core"), F.col("content").alias("c_content")).agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    classes = staged.write(classes, f"classes-{tag}")
     covered = F.struct("id", "lo") > F.col("first") if within else F.col("id") > F.col("first.id")
-    out = shared.join(classes.hint("merge"), (F.col("core") == F.col("c_core")) & (F.col("content") == F.col("c_content")))
-    out = out.withColumn("covered", covered).where("covered OR mixed").drop("c_core", "c_content", "core", "content", "first", "mixed")
+    out = shared.join(classes.hint("merge"), (F.col("core") == F.col("c_core")) & (F.col("content") == F.col("c_content")), "left")
+    out = out.withColumn("covered", F.coalesce(covered, F.lit(False))).where("covered OR mixed").drop("c_core", "c_content", "core", "content", "first", "mixed")
     out = staged.write(out, f"judged-{tag}")
+    staged.drop(f"classes-{tag}")
     staged.drop(f"shared-{tag}")
     return out
 
