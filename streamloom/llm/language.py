@@ -1,15 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-Texts are lower-cased and runs of anything but letters become one space. The models of order `ORDER` are fitted on at
-most `train_docs` labelled documents of each language (those with the smallest hashes of doc_id; whole texts) and at most
-`max_languages` languages; the rest of the work covers every document. The models of all languages share sorted arrays
+Texts are lower-cased and runs of anything but letters and marks become one space. The models of order `ORDER` are fitted on
+at most `train_docs` labelled documents of each language (those with the smallest hashes of doc_id; whole texts), of every label
+that occurs (more than `max_languages` are an error); the rest of the work covers every document. The models of all languages share sorted arrays
 of 64-bit n-gram hashes for each order, with a row of log probabilities (a column for each language), and sorted arrays
 of context hashes with the log weights that lead to the next lower order. A document gets the language of the lowest
 cross-entropy per character.
 
-Rejection is calibrated on the fifth of the sample that the fit leaves out: a document of n characters is rejected if its
-cross-entropy exceeds that fifth's mean by more than `slack` times what its own documents exceed it by at most, where
-excess is measured in units of 1 / sqrt(n), and also exceeds `least_ratio` times the mean.
+Rejection is calibrated on the fifth of the sample that the fit leaves out, for each language by itself (for languages of which
+it holds fewer than `least_rest` documents, on all together): the excess of a document of n characters is its cross-entropy less the
+language's mean, in units of 1 / sqrt(n), and the bound is `slack` times the `quantile` of the excess. A document is
+rejected if it exceeds that of its best language and also `least_ratio` times the mean.
 
 Defined cases: null text or a text without a letter is `und` with score 0 and rejected; null labels are not learned from;
 without any labelled document everything is `und`; equal rows are judged alike; null doc_id counts as the text "" for
@@ -18,10 +19,9 @@ the held-out test; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +29,16 @@ from streamloom.llm.common import slices, table
 
 ORDER = 4
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: letters, and marks, which are parts of words in many scripts
+NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 
 
 def normal(text: str) -> str:
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Empty where there is no letter (Unicode category L)."""
+    text = NOT_LETTERS.sub(" ", text.lower()).strip()
+    return text if LETTER.search(text) else ""
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,18 +186,29 @@ class Models:
 
 
 class Detector:
-    def __init__(self, texts: dict[str, list[str]], slack: float = 2.0, least_ratio: float = 1.3):
-        fit = {k: [t for i, t in enumerate(v) if i % 5 != 4 or len(v) < 10] for k, v in texts.items()}
-        rest = [t for v in texts.values() for i, t in enumerate(v) if i % 5 == 4 or len(v) < 10]
+    def __init__(self, texts: dict[str, list[str]], slack: float = 2.0, least_ratio: float = 1.3, quantile: float = 0.99, least_rest: int = 20):
+        left_out = lambda v: {i for i in range(len(v)) if i % 5 == 4 and len(v) >= 10}
+        fit = {k: [t for i, t in enumerate(v) if t and i not in left_out(v)] for k, v in texts.items()}
         self.models = Models({k: v for k, v in fit.items() if v})
-        self.mean, self.most = 0.0, 0.0
-        self.ratio, self.slack = least_ratio, slack
-        rest = [t for t in rest if t]
-        if rest and self.models.names:
-            sums, n = self.models.scores(rest)
-            entropy = -sums.max(axis=1) / n
-            self.mean = float(np.average(entropy, weights=n))
-            self.most = float(np.max((entropy - self.mean) * np.sqrt(n)))
+        self.slack, self.ratio = slack, least_ratio
+        names = self.models.names
+        rest = [(t, names.index(k)) for k, v in texts.items() if fit[k] for i, t in enumerate(v) if t and i in left_out(v)]
+        if not rest:  # small labels only: their own documents, which looks better than it is
+            rest = [(t, names.index(k)) for k, v in fit.items() for t in v]
+        self.mean, self.bound = np.zeros(len(names)), np.zeros(len(names))
+        if not rest:
+            return
+        sums, n = self.models.scores([t for t, _ in rest])
+        own = np.array([i for _, i in rest])
+        entropy = -sums.max(axis=1) / n
+
+        def calibrated(part):
+            mean = float(np.average(entropy[part], weights=n[part]))
+            return mean, max(float(np.quantile((entropy[part] - mean) * np.sqrt(n[part]), quantile)), 0.0)
+
+        everything = calibrated(np.ones(len(own), bool))
+        for i in range(len(names)):
+            self.mean[i], self.bound[i] = calibrated(own == i) if (own == i).sum() >= least_rest else everything
 
     def judge(self, raw: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy per character, rejected."""
@@ -207,7 +221,8 @@ class Detector:
         sums, n = self.models.scores([texts[i] for i in some])
         best = sums.argmax(axis=1)
         e = -sums.max(axis=1) / n
-        far = (e > self.mean + self.slack * max(self.most, 0) / np.sqrt(n)) & (e > self.ratio * self.mean)
+        mean, bound = self.mean[best], self.bound[best]
+        far = (e > mean + self.slack * bound / np.sqrt(n)) & (e > self.ratio * mean)
         for i, b in zip(some, best):
             lang[i] = names[b]
         at = np.array(some)
@@ -220,10 +235,12 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, train_docs: int = 400, max_languages: int = 200) -> Detector:
-    """From labelled rows outside the held-out fold; at most train_docs of each of the max_languages most frequent labels."""
+def fit(docs: DataFrame, train_docs: int = 400, max_languages: int = 1000) -> Detector:
+    """From labelled rows outside the held-out fold; at most train_docs of each label."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} labels; raise max_languages or clean the labels")
     if not counts:
         return Detector({})
     # the hash lets through about twice what is wanted, so that the exact choice is among few rows

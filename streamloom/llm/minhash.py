@@ -335,9 +335,10 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one of each group (and one of rows that repeat a document)."""
     judged = near_duplicates(docs).where("kept").select(F.col("id").alias("k_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct()
     text = text_or_empty()
-    rows = docs.withColumns({"__id": id_order(), "__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(5))})
-    on = (F.col("__id") == F.col("k_id")) & (F.col("__h1") == F.col("k1")) & (F.col("__h2") == F.col("k2"))
-    return rows.join(judged.hint("merge"), on, "left_semi").dropDuplicates(["__id", "__h1", "__h2"]).select(*docs.columns)
+    # the row travels as one column, so that no name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_order().alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(5)).alias("h2"))
+    on = (F.col("id") == F.col("k_id")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+    return rows.join(judged.hint("merge"), on, "left_semi").dropDuplicates(["id", "h1", "h2"]).select("row.*")
 
 
 def op10_minhash(spark, sf_dir):

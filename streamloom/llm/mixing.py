@@ -8,6 +8,10 @@ are rounded to multiples of 1 / `period` (each at least one), whereby the schedu
 computed once, with `period` rows at most, and block j of a source of weight c / period has slot
 (j div c) * period + slot of (j mod c).
 
+Blocks are whole in slots; documents are not cut, so in bytes a source may be ahead by its current document besides: one
+longer than a block is emitted in the slot in which it begins, and the blocks that it runs through stay empty. More
+than `period` sources are an error.
+
 Nothing is dropped: the schedule runs until every document has been used once, and sources that end sooner begin
 again (column epoch). `weights` are relative; by default they are the sources' sizes to the power `smoothing`.
 

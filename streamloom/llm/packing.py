@@ -1,10 +1,11 @@
 """Packing by cutting-stock column generation.
 
-Documents become token ids (an end id is added) and are cut into pieces of `capacity` and a rest. Lengths are counted
+Documents become token ids (an end id is added) and are cut into pieces of `capacity` and a rest. Pieces of at most `short`
+tokens are first joined into bundles of about `bundle` tokens, which then are packed like pieces. Lengths are counted
 in units of `unit` tokens, so the histogram has capacity / unit classes whatever the input's size. A linear program
 covers the histogram with patterns (how many pieces of each class share a sequence): the simplex method keeps a basis
 of patterns, and a knapsack dynamic program over the dual prices finds the column to enter. Multiplicities are rounded
-down; what is left (less than a few pieces a pattern) is packed first-fit decreasing. Documents are ranked within their
+down; what is left (less than a few pieces a pattern) is packed first-fit decreasing. Pieces and bundles are ranked within their
 class, and a rank finds its pattern, copy and sequence in the table of rank intervals, which is as small as the basis.
 
 Sequences shorter than capacity are padded to it, but not where their length is a power of two: a sequence of the
@@ -24,6 +25,7 @@ import sys
 import types
 import zlib
 from array import array
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,12 @@ BLANK = re.compile(r"[ \n\t\r]+")
 #: byte-level characters: bytes that print stand for themselves, others for the code points from 256 on
 PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTING)}
-WORD_LIMIT, PART_LIMIT = 250_000, 300_000
+WORD_LIMIT, PART_LIMIT, LONGEST = 250_000, 300_000, 64
 
 
 class Remembered(dict):
-    """What make() gave for a key. When `limit` keys are new, those that were not used since the last time are forgotten."""
+    """What make() gave for a key. When `limit` keys are new, those that were not used since the last time are forgotten;
+    keys of more than LONGEST characters are not kept, which bounds the bytes."""
 
     def __init__(self, limit: int):
         super().__init__()
@@ -56,6 +59,8 @@ class Remembered(dict):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.limit:
             self.before = dict(self)
             self.clear()
@@ -154,8 +159,25 @@ def knapsack(prices: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), counts
 
 
-def column_generation(demand: np.ndarray, tolerance: float = 5e-3, max_rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows) and their real multiplicities that cover demand[k - 1] pieces of class k, near the least number of sequences."""
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, in plain array operations: the driver's threads of a linear algebra library
+    may not survive a fork."""
+    n = len(basis)
+    work = np.concatenate([basis, np.eye(n)], axis=1)
+    for c in range(n):
+        p = c + int(np.argmax(np.abs(work[c:, c])))
+        work[[c, p]] = work[[p, c]]
+        work[c] /= work[c, c]
+        factor = work[:, c].copy()
+        factor[c] = 0
+        some = np.flatnonzero(factor)
+        work[some] -= factor[some, None] * work[c]
+    return work[:, n:]
+
+
+def column_generation(demand: np.ndarray, tolerance: float = 5e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows) and their real multiplicities that cover demand[k - 1] pieces of class k, by at most 1 + tolerance times
+    the least number of sequences."""
     size = len(demand)
     used = np.flatnonzero(demand > 0)
     m = len(used)
@@ -163,8 +185,9 @@ def column_generation(demand: np.ndarray, tolerance: float = 5e-3, max_rounds: i
         return np.zeros((0, size), np.int64), np.zeros(0)
     weights = used + 1
     basis = np.diag(size // weights).astype(float)  # columns are patterns over the used classes
-    inverse, x = np.diag(1.0 / (size // weights)), demand[used] / (size // weights)
-    for i in range(max_rounds):
+    # demands are moved apart by less than matters, so that every step gains and the steps end
+    inverse, x = np.diag(1.0 / (size // weights)), (demand[used] + 1e-6 * np.arange(1, m + 1) / m) / (size // weights)
+    for i in count():
         duals = inverse.sum(axis=0)
         prices = np.zeros(size)
         prices[used] = np.maximum(duals, 0)
@@ -172,20 +195,17 @@ def column_generation(demand: np.ndarray, tolerance: float = 5e-3, max_rounds: i
         if worth <= 1 + tolerance:
             break
         column = counts[used].astype(float)
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         r = int(np.argmin(ratio))
-        if not np.isfinite(ratio[r]):
-            break
-        x = x - ratio[r] * step
+        x = np.maximum(x - ratio[r] * step, 0)
         x[r] = ratio[r]
-        x = np.maximum(x, 0)
         basis[:, r] = column
         row = inverse[r] / step[r]
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         inverse[r] = row
         if i % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
     patterns = np.zeros((m, size), np.int64)
     patterns[:, used] = basis.T.round().astype(np.int64)
     return patterns, x
@@ -257,26 +277,35 @@ def split_powers(rows: list[tuple], capacity: int, first_sequence: int, fill: fl
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, unit: int = 16, bucket_rows: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, unit: int = 16, bucket_rows: int = 4096, short: int = 128, bundle: int = 512) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     staged = Staged(spark, "pack")
-    pieces = staged.write(tokenize(docs, tokenizer_path, end_id, capacity).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    pieces = tokenize(docs, tokenizer_path, end_id, capacity).withColumn("piece", F.monotonically_increasing_id())
+    pieces = staged.write(pieces, "pieces")
     size = capacity // unit
-    klass = F.ceil(F.col("length") / unit).cast("int")
+    # short pieces in bundles: consecutive ones of a bucket until `bundle` tokens are full; a bundle is named by its first piece
+    little = pieces.where(F.col("length") <= short).select("piece", "length")
+    n_buckets = little.count() // bucket_rows + 1
+    little = little.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(n_buckets)))
+    little = little.withColumn("before", F.sum("length").over(Window.partitionBy("bucket").orderBy("piece")) - F.col("length"))
+    little = little.withColumn("at", F.floor(F.col("before") / bundle)).withColumn("item", F.min("piece").over(Window.partitionBy("bucket", "at")))
+    bundled = pieces.join(little.select(F.col("piece").alias("l_piece"), "item"), F.col("piece") == F.col("l_piece"), "left").drop("l_piece").withColumn("item", F.coalesce("item", "piece"))
+    bundled = staged.write(bundled, "bundled")
+    staged.drop("pieces")
+    items = staged.write(bundled.groupBy("item").agg(F.sum("length").alias("item_length")).select("item", F.ceil(F.col("item_length") / unit).cast("int").alias("k")), "items")
     histogram = np.zeros(size, np.int64)
-    for r in pieces.groupBy(klass.alias("k")).count().collect():  # capacity / unit rows at most
+    for r in items.groupBy("k").count().collect():  # capacity / unit rows at most
         histogram[r["k"] - 1] = r["count"]
     total = int(histogram.sum())
     intervals, rest_from = plan(histogram)
 
     n_buckets = total // bucket_rows + 1
-    bucket = F.pmod(F.xxhash64("piece"), F.lit(n_buckets))
-    rows = pieces.select("*", klass.alias("k"), bucket.alias("bucket"))
+    rows = items.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(n_buckets)))
     counts = rows.groupBy("k", "bucket").count()
     before = counts.select(F.col("k").alias("bk"), F.col("bucket").alias("bb"), (F.sum("count").over(Window.partitionBy("k").orderBy("bucket")) - F.col("count")).alias("before"))
-    rows = rows.withColumn("in_bucket", F.row_number().over(Window.partitionBy("k", "bucket").orderBy("piece")) - 1)
-    rows = rows.join(before, (F.col("k") == F.col("bk")) & (F.col("bucket") == F.col("bb"))).withColumn("rank", F.col("before") + F.col("in_bucket")).drop("bk", "bb", "before", "in_bucket", "bucket")
+    rows = rows.withColumn("in_bucket", F.row_number().over(Window.partitionBy("k", "bucket").orderBy("item")) - 1)
+    rows = rows.join(before, (F.col("k") == F.col("bk")) & (F.col("bucket") == F.col("bb"))).select("item", "k", (F.col("before") + F.col("in_bucket")).alias("rank"))
     by_class: dict[int, list] = {}
     for k, *rest in intervals:
         by_class.setdefault(k, []).append(rest)
@@ -291,10 +320,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                 first, seq, per, _ = tables[int(c)]
                 i = np.searchsorted(first, rank[own], "right") - 1
                 sequence[own] = seq[i] + (rank[own] - first[i]) // per[i]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence)], names=[*names, "sequence_id"])
+            yield pa.RecordBatch.from_arrays([b.column("item"), pa.array(sequence)], names=["p_item", "sequence_id"])
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"]
-    placed = rows.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long, sequence_id long")
+    placed = rows.mapInArrow(place, "p_item long, sequence_id long")
+    placed = bundled.join(placed, F.col("item") == F.col("p_item")).drop("item", "p_item")
     in_order = Window.partitionBy("sequence_id").orderBy("piece")
     placed = placed.withColumn("offset", F.sum("length").over(in_order) - F.col("length"))
     placed = staged.write(placed, "placed")
@@ -302,7 +331,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     # the remainder: at most a few pieces a pattern, whatever the input's size
     rest = sorted(placed.where(F.col("sequence_id") >= rest_from).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
     again = recut(rest, docs, tokenizer_path, end_id, capacity, rest_from)
-    staged.drop("pieces")
+    for name in ("bundled", "items"):
+        staged.drop(name)
     return full.unionByName(spark.createDataFrame(again, full.schema)) if again else full
 
 

@@ -3,8 +3,8 @@
 Rows are ordered by (hash of the text, doc_id, row number). Splitters come from a size-weighted sample of these keys:
 row r gets the priority -ln(u)/size with u from a hash, and the smallest priorities are an exact weighted sample
 without replacement. Quantiles of the sample cut the order into fine ranges. Exact byte totals of the ranges are
-counted; a range that holds more than twice its share is subdivided by a sample of its own, until no range is
-overfull or a range is one row. Within its range each row knows its exact place among all rows, and the shard is the
+counted; ranges that hold more than twice their share are subdivided by samples of their own, all in one pass, until no range is
+overfull or each overfull one has been cut at all of its rows. Within its range each row knows its exact place among all rows, and the shard is the
 one in which the middle of its bytes falls, so a shard differs from the mean by less than the largest row's size.
 Equal texts are neighbours in this order: a group of copies lies in one shard unless a boundary has to cut it.
 
@@ -18,6 +18,7 @@ staged table; an empty table gives an empty table; other columns are not looked
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,16 @@ def find_range(frame, splitters):
     first = cuts["h"]
     low, high = np.searchsorted(first, frame["h"], "left"), np.searchsorted(first, frame["h"], "right")
     out = low.astype(np.int32)
-    for i in np.flatnonzero(low != high):  # only keys whose hash is that of a splitter
-        own = tuple(int(frame[k][i]) for k in KEY)
-        out[i] = low[i] + sum(tuple(c) <= own for c in cuts[low[i] : high[i]].tolist())
+    rest = [np.asarray(frame[k]) for k in KEY[1:]]
+    tied = np.flatnonzero(low != high)  # keys whose hash is that of a splitter
+    for h in np.unique(np.asarray(frame["h"])[tied]):
+        own = tied[np.asarray(frame["h"])[tied] == h]
+        among = cuts[first == h]
+        both = [np.concatenate([among[k], r[own]]) for k, r in zip(KEY[1:], rest)]
+        is_key = np.arange(len(both[0])) >= len(among)
+        order = np.lexsort((is_key, *both[::-1]))  # a splitter comes before a key that equals it
+        passed = np.cumsum(~is_key[order])
+        out[own[order[is_key[order]] - len(among)]] += passed[is_key[order]].astype(np.int32)
     return out
 
 
@@ -55,9 +63,13 @@ def with_range(keys: DataFrame, splitters: list) -> DataFrame:
     return keys.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("range", T.IntegerType())]))
 
 
-def weighted_sample(keys: DataFrame, n: int) -> list:
+def priority():
     u = (F.xxhash64("h", "id", "rid", F.lit(7)).bitwiseAND(F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
-    rows = keys.select(*KEY, (-F.log(u) / F.col("size")).alias("p")).orderBy("p", *KEY).limit(n).collect()
+    return -F.log(u) / F.col("size")
+
+
+def weighted_sample(keys: DataFrame, n: int) -> list:
+    rows = keys.select(*KEY, priority().alias("p")).orderBy("p", *KEY).limit(n).collect()
     return sorted(tuple(r[k] for k in KEY) for r in rows)
 
 
@@ -66,7 +78,7 @@ def quantiles(sample: list, parts: int) -> list:
     return sorted(set(cuts))
 
 
-def shard(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = 4, sample_per_range: int = 16, max_rounds: int = 8) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = 4, sample_per_range: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs."""
     spark = docs.sparkSession
     staged = Staged(spark, "shard")
@@ -77,19 +89,20 @@ def shard(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int = 4, sample
     total = keys.agg(F.sum("size")).first()[0] or 0
     n_ranges = n_shards * ranges_per_shard
     splitters = quantiles(weighted_sample(keys, n_ranges * sample_per_range), n_ranges)
-    for _ in range(max_rounds):
+    for round_ in count():
         ranged = with_range(keys, splitters)
         totals = {r["range"]: (r["bytes"], r["rows"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-        over = {k: b for k, (b, rows) in totals.items() if b > 2 * total / n_ranges and rows > 1}
-        more = []
-        if over:
-            for k in over:
-                inside = ranged.where(F.col("range") == k)
-                parts = math.ceil(over[k] * n_ranges / total) + 1
-                more += quantiles(weighted_sample(inside, parts * sample_per_range), parts)
-        new = sorted({*splitters, *more})
-        if new == splitters:
+        over = {k: math.ceil(b * n_ranges / total) + 1 for k, (b, rows) in totals.items() if b > 2 * total / n_ranges and rows > 1}
+        if not over:
             break
+        # all overfull ranges in one pass: rows below a priority, about sample_per_range for each part wanted, more in later rounds
+        most = F.create_map(*[x for k, parts in over.items() for x in (F.lit(k).cast("int"), F.lit(parts * sample_per_range * 2.0**round_ / totals[k][0]))])
+        some: dict[int, list] = {}
+        for r in ranged.where(priority() < F.try_element_at(most, F.col("range"))).select("range", *KEY).collect():
+            some.setdefault(r["range"], []).append(tuple(r[k] for k in KEY))
+        new = sorted({*splitters, *(c for k, v in some.items() for c in quantiles(sorted(v), over[k]))})
+        if new == splitters and all(len(some.get(k, ())) >= totals[k][1] for k in over):
+            break  # what is left are rows that are larger than a range
         splitters = new
     start, at = {}, [0, 0]
     for k in sorted(totals):

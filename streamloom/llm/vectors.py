@@ -254,8 +254,13 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = 15
     centers: dict[int, np.ndarray] = {}
     for dim, n in counts.items():
         k = int(max(2, min(round(n / shard_rows), sample_rows // 8, model_bytes // (8 * dim * len(counts)))))
-        some = nodes.where(F.size("v") == dim).select("v", F.xxhash64("node").alias("h")).orderBy("h").limit(sample_rows).toArrow()
-        centers[dim] = k_means(matrix(some.column("v")), k)
+        some = nodes.where(F.size("v") == dim).select("v", F.xxhash64("node").alias("h")).orderBy("h").limit(sample_rows)
+
+        def fit_one(batches, k=k):  # in a task: the driver does no linear algebra
+            x = matrix(pa.Table.from_batches(list(batches)).column("v"))
+            yield pa.RecordBatch.from_arrays([pa.array([k_means(x, k).ravel().tolist()], pa.list_(pa.float64()))], names=["centers"])
+
+        centers[dim] = np.array(some.mapInArrow(fit_one, "centers array<double>").first()["centers"]).reshape(-1, dim)
     model = spark.sparkContext.broadcast(centers)  # model_bytes at most
 
     def assign(batches):

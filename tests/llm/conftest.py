@@ -26,3 +26,8 @@ def messy(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")

@@ -105,7 +105,8 @@ def test_anchors_depend_on_the_window_alone():
 # -- near-dedup --
 
 
-def expected_groups(docs):
+def linked_groups(docs):
+    """A number for each document's group."""
     sets = [minhash.elements(t) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -118,10 +119,14 @@ def expected_groups(docs):
         for j in range(i):
             if minhash.overlap(sets[i], sets[j]) >= 0.8:
                 parent[max(top(i), top(j))] = min(top(i), top(j))
-    least = {}
-    for i, (d, _) in enumerate(docs):
-        least[top(i)] = min(least.get(top(i), 1 << 62), order(d))
-    return Counter((order(d), least[top(i)]) for i, (d, _) in enumerate(docs))
+    return [top(i) for i in range(len(docs))]
+
+
+def expected_groups(docs):
+    least, tops = {}, linked_groups(docs)
+    for t, (d, _) in zip(tops, docs):
+        least[t] = min(least.get(t, 1 << 62), order(d))
+    return Counter((order(d), least[t]) for t, (d, _) in zip(tops, docs))
 
 
 def test_near_duplicates(messy):
@@ -209,11 +214,6 @@ def test_signatures_estimate_weighted_jaccard():
 # -- packing --
 
 
-@pytest.fixture(scope="module")
-def tokenizer():
-    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-
-
 def test_pack(messy, tokenizer):
     got = rows_of(packing.pack(messy, tokenizer))
     encoder = packing.Encoder(tokenizer)
@@ -406,3 +406,118 @@ def test_repeats_of_all_documents(spark):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(substrings.substring_dedup(docs))) == expected_words(rows)
     got = rows_of(suffixes.suffix_dedup(docs))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == expected_bytes(rows)
+
+
+# -- further cases --
+
+
+def test_short_texts_fill_their_sequences(spark, tokenizer):
+    rng = np.random.default_rng(1)
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('word ', cast(id as string), ' of a short text') as text")
+    got = rows_of(packing.pack(docs, tokenizer))
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    used = 0
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *(n for _, n in parts[:-1])]).tolist() and sum(n for _, n in parts) <= 4096
+        n = sum(n for _, n in parts)
+        used += n if n & (n - 1) == 0 else 4096
+    assert len({r["doc_id"] for r in got}) == 6000 and used <= 1.04 * sum(r["length"] for r in got)
+
+
+def test_very_long_words_have_the_ids_of_encode(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    text = "x" * 5000 + " " + "né" * 3000 + " plain"
+    encoder = packing.Encoder(tokenizer)
+    assert encoder.encode(text).tolist() == Tokenizer.from_file(tokenizer).encode(text, add_special_tokens=False).ids
+    assert not any(len(k) > packing.LONGEST for k in [*encoder.words, *encoder.words.parts])
+
+
+def test_inverted():
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(40, 40))
+    assert np.allclose(packing.inverted(m) @ m, np.eye(40))
+
+
+def test_signs_that_are_no_letters():
+    detector = language.Detector({"a": ["abra cadabra abra"] * 3, "b": ["banana band"] * 3})
+    lang, score, _, rejected = detector.judge(["² ½", "Ⅷ", "١٢", "a²", None, ""])
+    assert lang == ["und"] * 3 + [lang[3]] + ["und"] * 2 and lang[3] != "und" and rejected[:3].all()
+
+
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    detector = language.fit(docs)
+    finnish = "Metsän reunassa asui vanha mies joka keitti kahvia aamulla ja katseli järvelle missä sumu nousi hitaasti veden yltä kohti taivasta ja linnut lauloivat"
+    polish = "Wczoraj wieczorem poszliśmy do miasta żeby zobaczyć stary zamek nad rzeką i kupić świeży chleb oraz trochę sera na kolację dla całej rodziny"
+    _, _, _, rejected = detector.judge([finnish, polish])
+    assert rejected.all()
+    got = rows_of(language.identify(docs, detector, keep=("doc_id", "text")))
+    assert np.mean([r["rejected"] for r in got if r["text"]]) < 0.01
+
+
+def test_long_text_is_judged_in_parts(monkeypatch):
+    models = language.Models({"a": ["abra cadabra abra"], "b": ["banana band"]})
+    text = "abra banana " * 50
+    whole = models.scores([text.strip()])[0]
+    monkeypatch.setattr(language, "CHUNK_CHARS", 100)
+    assert np.allclose(models.scores([text.strip()])[0], whole, rtol=1e-5)
+
+
+def brute_kneser_ney(texts, order):
+    """Probability of a character after a context, in the plain recursive form."""
+    grams = {order: Counter(c for t in texts for c in zip(*((" " * (order - 1) + t + " ")[k:] for k in range(order))))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+    def p(g, letters):
+        k = len(g)
+        if not k:
+            return 1 / (letters + 1)
+        ones, twos = (sum(v == n for v in grams[k].values()) for n in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        own = {h: v for h, v in grams[k].items() if h[:-1] == g[:-1]}
+        total = sum(own.values())
+        if not total:
+            return p(g[1:], letters)
+        return max(own.get(g, 0) - d, 0) / total + d * len(own) / total * p(g[1:], letters)
+
+    return p
+
+
+def test_models_are_interpolated_kneser_ney():
+    texts = {"a": ["abra cadabra abra", "bad cab"], "b": ["banana band", "nab"]}
+    models = language.Models(texts)
+    letters = len({c for v in texts.values() for t in v for c in f" {t}"})
+    for i, name in enumerate(models.names):
+        p = brute_kneser_ney(texts[name], language.ORDER)
+        for context in ("abr", "ana", "xyz", "   "):
+            for c in "abdn ":
+                got = models.place_logs(np.array([ord(x) for x in context + c], np.uint32))[0, i]
+                assert np.isclose(np.exp(got), p(tuple(context + c), letters), rtol=1e-4)
+
+
+def test_mixture_stays_within_a_block_of_its_weights(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('x', 50) as text", "case when id % 10 < 7 then 'a' when id % 10 < 9 then 'b' else 'c' end as source")
+    weights = {"a": 0.2, "b": 0.5, "c": 0.3}
+    got = rows_of(mixing.mix(docs, weights, block_bytes=1000, period=100))
+    per_slot = {}
+    for r in got:
+        assert per_slot.setdefault(r["slot"], r["source"]) == r["source"]
+    assert sorted(per_slot) == list(range(len(per_slot)))
+    seen = Counter()
+    for t in range(len(per_slot)):
+        seen[per_slot[t]] += 1
+        assert all(abs(seen[s] - (t + 1) * w) < 1 for s, w in weights.items())
+
+
+def test_ties_of_a_splitter(spark):
+    """Keys of one hash are told apart by id and row number, as a plain comparison does."""
+    rng = np.random.default_rng(3)
+    keys = [tuple(int(x) for x in k) for k in np.stack([rng.integers(0, 3, 200), rng.integers(0, 2, 200), rng.integers(0, 4, 200), rng.integers(0, 50, 200)], 1)]
+    cuts = sorted(set(keys[:30]))
+    frame = {k: np.array([x[i] for x in keys]) for i, k in enumerate(shards.KEY)}
+    assert shards.find_range(frame, cuts).tolist() == [sum(c <= k for c in cuts) for k in keys]
