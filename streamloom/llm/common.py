@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
+LIBC = ctypes.CDLL(None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,7 +80,11 @@ def text_or_empty(col: str = "text"):
 
 
 def slices(batches, rows: int = 1000):
-    """Arrow batches in parts of few rows: texts become Python objects a part at a time."""
+    """Arrow batches in parts of few rows: texts become Python objects a part at a time. What a task has freed goes back to the
+    system when it ends, as workers live on."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)

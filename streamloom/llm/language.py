@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamloom.llm.common import slices, table
 
@@ -260,13 +261,16 @@ def identify(docs: DataFrame, detector: Detector, keep: tuple[str, ...] = ("doc_
     """The columns of keep, and lang_pred, score, cross_entropy, rejected, from the column text alone."""
     model = docs.sparkSession.sparkContext.broadcast(detector)  # as large as the bounded sample makes it
 
+    # the text travels once, also where it is wanted back
+    sent = {c: "text" if c == "text" and docs.schema[c].dataType == T.StringType() else f"keep_{i}" for i, c in enumerate(keep)}
+
     def run(batches):
         for b in slices(batches):
-            lang, score, entropy, rejected = model.value.judge(b.column("__text").to_pylist())
-            kept = [b.column(f"__keep_{c}") for c in keep]
+            lang, score, entropy, rejected = model.value.judge(b.column("text").to_pylist())
+            kept = [b.column(sent[c]) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"])
 
-    rows = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in sent.items() if n != "text"], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, cross_entropy double, rejected boolean"
     return rows.mapInArrow(run, schema)
 

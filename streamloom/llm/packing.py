@@ -41,60 +41,45 @@ BLANK = re.compile(r"[ \n\t\r]+")
 #: byte-level characters: bytes that print stand for themselves, others for the code points from 256 on
 PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTING)}
-WORD_LIMIT, PART_LIMIT, LONGEST = 250_000, 300_000, 64
+#: white space that str.split() cuts at and the tokenizer does not take for a blank
+RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WORD_LIMIT, LONGEST = 200_000, 64
 
 
-class Remembered(dict):
-    """What make() gave for a key. When `limit` keys are new, those that were not used since the last time are forgotten;
-    keys of more than LONGEST characters are not kept, which bounds the bytes."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.before = limit, {}
-
-    def make(self, key: str) -> bytes:
-        raise NotImplementedError
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) > LONGEST:
-            return value
-        if len(self) >= self.limit:
-            self.before = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class Parts(Remembered):
-    """Ids (as bytes) of the pieces that a word is cut into before merging."""
-
-    def __init__(self, model, unit: str):
-        super().__init__(PART_LIMIT)
-        self.model, self.unit = model, unit
-
-    def make(self, part: str) -> bytes:
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return array(self.unit, [t.id for t in self.model.tokenize(part)]).tobytes()
-
-
-class Words(Remembered):
-    """Ids (as bytes) of words: a word between blanks has the same ids alone as within its text."""
+class Words(dict):
+    """Ids (as bytes) of words between blanks, and of the parts that words are cut into before merging: both have the same ids
+    alone as within their text. When WORD_LIMIT keys are new, those that were not used since the last time are
+    forgotten; keys of more than LONGEST characters are not kept, which bounds the bytes."""
 
     def __init__(self, tokenizer):
-        super().__init__(WORD_LIMIT)
+        super().__init__()
         self.tokenizer, self.unit = tokenizer, "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.parts = Parts(tokenizer.model, self.unit)
+        self.merge, self.before = tokenizer.model.tokenize, {}
 
     def make(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self.parts[word.lower()]
-        if "<|" not in word and PLAIN.fullmatch(word):
-            return b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word.lower())))
-        return array(self.unit, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if "<|" in word or not PLAIN.fullmatch(word):
+            return array(self.unit, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        low = word.lower()
+        if not (low.isascii() and low.isalpha()):
+            parts = PRETOKEN.findall(low)
+            if len(parts) > 1:
+                return b"".join([self[p] for p in parts])
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        elif low != word:
+            return self[low]
+        return array(self.unit, [t.id for t in self.merge(low)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.before.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= LONGEST:
+            if len(self) >= WORD_LIMIT:
+                self.before = dict(self)
+                self.clear()
+            self[word] = value
+        return value
 
 
 class Encoder:
@@ -116,7 +101,8 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         words = self.words
-        return np.frombuffer(b"".join(map(words.__getitem__, BLANK.split(text))), words.unit).astype(np.uint32)
+        cut = text.split() if RARE.search(text) is None else BLANK.split(text)
+        return np.frombuffer(b"".join(map(words.__getitem__, cut)), words.unit).astype(np.uint32)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
