@@ -25,9 +25,10 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go; a missing label is filled in."""
     wide, names = set_aside(docs)
+    names = {c: "text" if c == "text" else n for c, n in names.items()}  # the text is wanted once
     judged = identify(wide, fit(docs), keep=tuple(names.values())).where("NOT rejected")
-    own = {**names, "lang": None}
-    return judged.select(*[F.col(n).alias(c) if n else F.coalesce(names["lang"], "lang_pred").alias("lang") for c, n in own.items()])
+    label = F.coalesce(names["lang"], "lang_pred")
+    return judged.select(*[(label if c == "lang" else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("suffix_array_dedup", suffix_array_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: SQL can express neither the models nor the packing; the tests hold run() against brute force.
+#: SQL can express neither the models nor the packing; tests/llm/test_pipeline.py holds each stage against a plain computation.
 ORACLE_SQL = None
 
 
