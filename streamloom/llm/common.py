@@ -15,9 +15,6 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
-LIBC = ctypes.CDLL(None)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,5 +83,6 @@ def slices(batches, rows: int = 1000):
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
     pa.default_memory_pool().release_unused()
-    if hasattr(LIBC, "malloc_trim"):
-        LIBC.malloc_trim(0)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
