@@ -239,3 +239,25 @@ def huffman_sizes(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("chunk_id"), pa.array([len(x) for x in data], pa.int64()), pa.array(size, pa.int64())], names=["id", "chunk_id", "n", "huffman_bytes"])
 
     return blocks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, "id long, chunk_id long, n long, huffman_bytes long")
+
+
+def huffman(blocks: DataFrame) -> DataFrame:
+    """id, chunk_id, n, bytes (Huffman codes of the block), restored, and whether the codes take less than the entropy and one
+    bit for each byte."""
+    from streamloom.functions import huffman as H
+
+    def run(batches):
+        for b in batches:
+            data = [x or b"" for x in b.column("bytes").to_pylist()]
+            made = [H.encode(x) for x in data]
+            near = []
+            for x, m in zip(data, made):
+                p = np.bincount(as_bytes(x), minlength=256) / max(len(x), 1)
+                p = p[p > 0]
+                bits = 8 * (len(m) - (260 if len(p) > 1 else len(m)))
+                near.append(bool(bits <= -(p * np.log2(p)).sum() * len(x) + len(x) + 8))
+            columns = [pa.array([len(x) for x in data], pa.int64()), pa.array(made, pa.binary()), pa.array([H.decode(m) == x for x, m in zip(data, made)]), pa.array(near)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("chunk_id"), *columns], names=["id", "chunk_id", "n", "bytes", "restored", "within_a_bit_of_entropy"])
+
+    rows = blocks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), F.col("bytes").cast("binary"))
+    return rows.mapInArrow(run, "id long, chunk_id long, n long, bytes binary, restored boolean, within_a_bit_of_entropy boolean")

@@ -10,7 +10,7 @@ import re
 import time
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: name; version; first level; last level; parameter; threading
@@ -176,9 +176,14 @@ def bindings() -> dict:
         z = zlib.compressobj(min(level, 9), zlib.DEFLATED, -15)
         return z.compress(b) + z.flush()
 
-    def zstd():
+    def zstd(window=0, far=False):
+        """Of a window (its logarithm; 0: that of the level), with matching over long distances where far says so."""
         import zstandard
 
+        if window or far:
+            extra = {"enable_ldm": far} | ({"window_log": window} if window else {})
+            make = lambda level: zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(level, **extra))
+            return (lambda b, level: make(level).compress(b)), (lambda c, n: zstandard.ZstdDecompressor(max_window_size=1 << 31).decompress(c, max_output_size=max(n, 1)))
         return (lambda b, level: zstandard.ZstdCompressor(level=level).compress(b)), (lambda c, n: zstandard.ZstdDecompressor().decompress(c, max_output_size=max(n, 1)))
 
     out = {
@@ -192,8 +197,12 @@ def bindings() -> dict:
         "snappy": arrow("snappy", levels=False),
         "lz4": arrow("lz4_raw", levels=False),
     }
+    # the library's own high-compression levels (frames), as its levels from 3 on are
+    out["lz4hc"] = (lambda b, level: bytes(pa.Codec("lz4", max(level, 3)).compress(b))), (lambda c, n: bytes(pa.Codec("lz4").decompress(c, n)))
     if importlib.util.find_spec("zstandard"):
         out["zstd"] = out["zstd_fast"] = zstd()
+        for name, window, far in (("zstd22", 22, False), ("zstd22LDM", 22, True), ("zstd24", 24, False), ("zstd24LDM", 24, True), ("zstdLDM", 0, True)):
+            out[name] = zstd(window, far)
     return out
 
 
@@ -271,10 +280,18 @@ def summarize(results: DataFrame, time_type: str = "fastest") -> DataFrame:
     return out.withColumn("ratio", ratio).withColumn("cspeed", speed("ctime")).withColumn("dspeed", speed("dtime"))
 
 
+def order_of(column: int) -> list:
+    """Column 1 name, 2 compression time and 3 decompression time (both falling), 4 compressed size, 5 original size."""
+    return [{1: F.col("algname"), 2: F.desc("ctime"), 3: F.desc("dtime"), 4: F.col("comprsize"), 5: F.col("origsize")}[column], F.col("algname")]
+
+
 def ordered(results: DataFrame, column: int) -> DataFrame:
-    """By column 1 name, 2 compression time and 3 decompression time (both falling), 4 compressed size, 5 original size."""
-    keys = {1: [F.col("algname")], 2: [F.desc("ctime")], 3: [F.desc("dtime")], 4: [F.col("comprsize")], 5: [F.col("origsize")]}
-    return results.orderBy(*keys[column], "algname")
+    return results.orderBy(*order_of(column))
+
+
+def ranked(results: DataFrame, column: int) -> DataFrame:
+    """The results with their place in that order. Results are a row for each codec and level, so one window holds them."""
+    return results.select(F.row_number().over(Window.orderBy(*order_of(column))).cast("long").alias("place"), "*")
 
 
 def rendered(results: DataFrame, style: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.functions import huffman
+
 
 @dataclass(frozen=True)
 class Node:
@@ -219,7 +221,7 @@ def zstd_decode(data):
 
 PLAIN = {
     "store": Node("store", bytes, bytes), "constant": Node("constant", constant_encode, constant_decode), "flatpack": Node("flatpack", flat_encode, flat_decode),
-    "lz": Node("lz", lz_encode, lz_decode), "zstd": Node("zstd", zstd_encode, zstd_decode),
+    "lz": Node("lz", lz_encode, lz_decode), "huffman": Node("huffman", huffman.encode, huffman.decode), "zstd": Node("zstd", zstd_encode, zstd_decode),
     "deflate": Node("deflate", lambda d: zlib.compress(d, 6), zlib.decompress), "lz4": Node("lz4", lambda d: struct.pack("<I", len(d)) + bytes(pa.Codec("lz4_raw").compress(d)), lambda d: bytes(pa.Codec("lz4_raw").decompress(d[4:], struct.unpack_from("<I", d)[0]))),
 }
 SIZED = {"delta": delta, "zigzag": zigzag, "range_pack": range_pack, "tokenize": tokenize, "transpose": transpose, "bitpack": bit_pack}
@@ -245,7 +247,7 @@ def decode(data: bytes, graph: tuple[str, ...]) -> bytes:
 
 
 #: named graphs over bytes and over integers of a width
-GRAPHS: dict[str, tuple[str, ...]] = {"store": ("store",), "constant": ("constant",), "flatpack": ("flatpack",), "bitpack": ("bitpack8",), "zstd": ("zstd",), "lz4": ("lz4",), "lz": ("lz", "zstd"), "delta_zstd": ("delta8", "zstd"), "delta_flatpack": ("delta8", "flatpack")}
+GRAPHS: dict[str, tuple[str, ...]] = {"store": ("store",), "constant": ("constant",), "flatpack": ("flatpack",), "bitpack": ("bitpack8",), "zstd": ("zstd",), "lz4": ("lz4",), "lz": ("lz", "zstd"), "delta_zstd": ("delta8", "zstd"), "delta_flatpack": ("delta8", "flatpack"), "huffman": ("huffman",), "delta_huffman": ("delta8", "huffman")}
 for _w in (8, 16, 32, 64):
     GRAPHS |= {f"num{_w}": (f"transpose{_w}", "zstd"), f"num{_w}_delta": (f"delta{_w}", f"zigzag{_w}", f"transpose{_w}", "zstd"), f"num{_w}_range_pack": (f"range_pack{_w}", "zstd"), f"num{_w}_tokenize": (f"tokenize{_w}", "zstd"), f"num{_w}_bitpack": (f"bitpack{_w}",)}
 

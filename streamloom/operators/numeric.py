@@ -278,8 +278,9 @@ def split_n(df: DataFrame, sizes: list[int]) -> DataFrame:
     return df.select(*KEY, segment.otherwise(beyond).alias("segment"), (pos - start).alias("pos"), "value")
 
 
-def split_by_range(df: DataFrame, block: int = 64, confirm: int = 7) -> DataFrame:
-    """Cuts between blocks whose values do not overlap: all of the `confirm` blocks before lie below or above all that follow."""
+def split_by_range(df: DataFrame, width: int = 4, confirm: int = 7) -> DataFrame:
+    """Cuts between blocks (of 128, 64 and 32 values for elements of 1, 2 and more bytes) whose values do not overlap: all of the `confirm` blocks before lie below or above all that follow."""
+    block = {1: 128, 2: 64}.get(width, 32)
     blocks = df.groupBy(*KEY, F.expr(f"pos div {block}").alias("block")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     w = Window.partitionBy(*KEY).orderBy("block")
     back, ahead = w.rowsBetween(-confirm, -1), w.rowsBetween(0, confirm - 1)
@@ -306,14 +307,21 @@ def best_split(df: DataFrame, bias: int = 0) -> DataFrame:
 
 
 def dispatch(df: DataFrame, tag: Column) -> DataFrame:
-    """Each value goes to the output of its tag and keeps its order there."""
+    """Each value goes to the output of its tag and keeps its order there (out_pos)."""
     rows = df.select(*KEY, "pos", tag.alias("tag"), "value")
     at = F.row_number().over(Window.partitionBy(*KEY, "tag").orderBy("pos")) - 1
     return rows.select(*KEY, "pos", "tag", at.cast("long").alias("out_pos"), "value")
 
 
-def undo_dispatch(df: DataFrame) -> DataFrame:
-    return df.select(*KEY, "pos", "value")
+def dispatched(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What dispatch stores: the stream of tags (pos, tag) and the outputs (tag, out_pos, value)."""
+    return df.select(*KEY, "pos", "tag"), df.select(*KEY, "tag", "out_pos", "value")
+
+
+def undo_dispatch(tags: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Each tag takes the next value of its output."""
+    at = F.row_number().over(Window.partitionBy(*KEY, "tag").orderBy("pos")) - 1
+    return tags.withColumn("out_pos", at.cast("long")).join(outputs, [*KEY, "tag", "out_pos"]).select(*KEY, "pos", "value")
 
 
 def little_endian_bytes(df: DataFrame, width: int, big: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from streamloom.operators import numeric as N
 from streamloom.operators import profile as P
 from streamloom.operators import strings as S
+from streamloom.operators import structs as T
 from streamloom.sources import streams
 
 QUERIES: dict = {}
@@ -310,7 +311,7 @@ def split_n(s, d):
 
 @query(
     f""", v AS (SELECT {K}, pos, value + (pos // 300) * 10000000000 AS value FROM price),
-    b AS (SELECT {K}, pos // 64 AS block, min(value) AS low, max(value) AS high FROM v GROUP BY ALL),
+    b AS (SELECT {K}, pos // 32 AS block, min(value) AS low, max(value) AS high FROM v GROUP BY ALL),
     c AS (SELECT {K}, block, coalesce(max(high) OVER back < min(low) OVER ahead OR min(low) OVER back > max(high) OVER ahead, false)::INT AS cut FROM b
       WINDOW back AS (PARTITION BY {K} ORDER BY block ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), ahead AS (PARTITION BY {K} ORDER BY block ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING))
     SELECT {K}, block, sum(cut) OVER (PARTITION BY {K} ORDER BY block ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM c"""
@@ -343,7 +344,7 @@ def dispatch_by_tag(s, d):
 
 @query(f"SELECT {K}, pos, value FROM usr")
 def dispatch_decode(s, d):
-    return N.undo_dispatch(dispatch_by_tag(s, d))
+    return N.undo_dispatch(*N.dispatched(dispatch_by_tag(s, d)))
 
 
 @query(f"SELECT {K}, pos * 4 + lane AS pos, (value >> (8 * lane)) & 255 AS value FROM price, (SELECT unnest([0, 1, 2, 3]) AS lane)")
@@ -356,16 +357,66 @@ def convert_num_to_bytes_be(s, d):
     return N.little_endian_bytes(streams.price(s, d), 4, big=True)
 
 
-for _w in (1, 2, 4):
+#: whole texts of events, padded with zero bytes to structs of a width
+PADDED = "padded AS (SELECT 'props' AS stream_id, chunk_id, rpad(h, (((length(h) + {d} - 1) // {d}) * {d})::INT, '0') AS h FROM props_hex)"
+CUT = "cut AS (SELECT stream_id, chunk_id, i AS pos, substr(h, ({d} * i + 1)::INT, {d}) AS v FROM (SELECT *, unnest(range(length(h) // {d})) AS i FROM padded))"
+
+
+def cut(width):
+    return f", {PADDED}, {CUT}".replace("{d}", str(2 * width))
+
+
+def contents(s, d, width):
+    size = F.octet_length("props")
+    padded = F.rpad(F.hex(F.encode("props", "UTF-8")), F.expr(f"cast(ceil(octet_length(props) / {width}.0) as int) * {2 * width}"), "0")
+    return streams.table(s, d, "events").where(size > 0).select(F.lit("props").alias("stream_id"), F.col("event_id").alias("chunk_id"), F.unhex(padded).alias("content"))
+
+
+def hexed(df):
+    return df.withColumn("value", F.hex("value"))
+
+
+for _w in (1, 2, 4, 8):
     for _big in (False, True):
 
         def _f(s, d, w=_w, big=_big):
-            rows = streams.text_bytes(s, d).where("pos < 8")
-            full = rows.groupBy("chunk_id").count().where("count = 8").select("chunk_id")
-            return N.from_bytes(rows.join(full, "chunk_id"), w, big)
+            numbers = T.to_numbers(T.from_serial(contents(s, d, w), w), w, big)
+            return numbers.withColumn("value", F.col("value").cast("long"))
 
         _shift = f"8 * ({_w} - 1 - pos % {_w})" if _big else f"8 * (pos % {_w})"
-        query(f", e AS (SELECT * FROM bytes WHERE pos < 8 AND chunk_id IN (SELECT chunk_id FROM bytes WHERE pos < 8 GROUP BY 1 HAVING count(*) = 8)) SELECT {K}, pos // {_w} AS pos, sum(value::BIGINT << ({_shift})::INT)::BIGINT AS value FROM e GROUP BY {K}, pos // {_w}", f"convert_bytes_to_num_{'be' if _big else 'le'}{8 * _w}")(_f)
+        query(f"SELECT {K}, pos // {_w} AS pos, sum(value::BIGINT << ({_shift})::INT)::BIGINT AS value FROM bytes GROUP BY {K}, pos // {_w}", f"convert_bytes_to_num_{'be' if _big else 'le'}{8 * _w}")(_f)
+
+for _w in (2, 3, 4, 8):
+
+    def _f(s, d, w=_w):
+        return hexed(T.from_serial(contents(s, d, w), w))
+
+    query(f"{cut(_w)} SELECT {K}, pos, v AS value FROM cut", f"convert_serial_to_struct{_w}")(_f)
+
+
+@query(f"{cut(4)} SELECT {K}, h AS content FROM padded")
+def convert_struct_to_serial(s, d):
+    return T.to_serial(T.from_serial(contents(s, d, 4), 4)).withColumn("content", F.hex("content"))
+
+
+@query(f"SELECT {K}, pos, format('{{:08X}}', ((value & 255) << 24) + (((value >> 8) & 255) << 16) + (((value >> 16) & 255) << 8) + ((value >> 24) & 255)) AS value FROM price")
+def convert_num_to_struct_le(s, d):
+    return hexed(T.from_numbers(streams.price(s, d), 4))
+
+
+@query(f"SELECT {K}, pos, value FROM price")
+def convert_num_to_struct_round_trip(s, d):
+    return T.to_numbers(T.from_numbers(streams.price(s, d), 5), 5)
+
+
+@query(f"{cut(8)}, f AS (SELECT unnest([0, 1, 2])::INT AS field, unnest([1, 3, 7]) AS a, unnest([2, 4, 10]) AS n) SELECT {K}, pos, field, substr(v, a, n) AS value FROM cut, f")
+def split_by_struct(s, d):
+    return hexed(T.split_fields(T.from_serial(contents(s, d, 8), 8), [1, 2, 5]))
+
+
+@query(f"{cut(8)} SELECT {K}, pos, v AS value FROM cut")
+def split_by_struct_decode(s, d):
+    return hexed(T.join_fields(T.split_fields(T.from_serial(contents(s, d, 8), 8), [1, 2, 5])))
 
 
 @query(f"SELECT {K}, pos, value FROM usr")
@@ -373,12 +424,14 @@ def bit_pack_round_trip(s, d):
     return N.bit_unpack(N.bit_pack(streams.user(s, d)))
 
 
-@query(f"SELECT {K}, length(bin(max(value))) AS bits, count(*) AS count FROM usr GROUP BY {K}")
+@query(
+    f""", m AS (SELECT {K}, length(bin(max(value))) AS bits, count(*) AS count FROM usr GROUP BY {K}),
+    t AS (SELECT {K}, bits, count, string_agg(lpad(bin(value), bits::INT, '0'), '' ORDER BY pos DESC) AS t FROM usr JOIN m USING ({K}) GROUP BY ALL),
+    p AS (SELECT *, lpad(t, ((length(t) + 7) // 8 * 8)::INT, '0') AS b, (length(t) + 7) // 8 AS size FROM t)
+    SELECT {K}, bits, count, array_to_string(list_transform(range(size), lambda i: format('{{:02X}}', list_reduce(list_transform(range(8), lambda j: ascii(substr(b, ((size - 1 - i) * 8 + j + 1)::INT, 1)) - 48), lambda x, y: x * 2 + y))), '') AS packed_hex FROM p"""
+)
 def bit_pack(s, d):
-    return N.bit_pack(streams.user(s, d)).select("stream_id", "chunk_id", "bits", "count")
-
-
-# -- strings --
+    return N.bit_pack(streams.user(s, d)).select("stream_id", "chunk_id", "bits", "count", F.upper("packed_hex").alias("packed_hex"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from streamloom.functions import blocks, chunking, codecs, graphs, records
+from streamloom.functions import blocks, chunking, codecs, custom, graphs, records
 from streamloom.operators import catalogue as C
 from streamloom.operators import profile as P
 from streamloom.plans import choose
@@ -57,7 +57,7 @@ def blobs(s, d):
     return streams.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
 
 
-LIST = "memcpy/zlib,1,6/bzip2,9/lzma,0/zstd,1,3/snappy/lz4/brotli,2"
+LIST = "memcpy/zlib,1,6/bzip2,9/lzma,0/xz,1/zstd,1,3/zstd_fast,-3/zstdLDM,2/zstd22,16/zstd22LDM,16/zstd24,16/zstd24LDM,16/snappy/lz4/lz4hc,3,9/brotli,2"
 PAIRS = [x for x in codecs.expand(LIST) if x[0] in AVAILABLE]
 
 
@@ -84,10 +84,10 @@ def measured(s, d):
 for _i, _by in enumerate(["algname", "ctime DESC, algname", "dtime DESC, algname", "comprsize, algname", "origsize, algname"], 1):
 
     def _sorted(s, d, column=_i):
-        return codecs.ordered(measured(s, d), column).limit(5)
+        return codecs.ranked(measured(s, d), column)
 
     QUERIES[f"results_sort_{_i}"] = _sorted
-    SQL[f"results_sort_{_i}"] = f"SELECT * FROM ({MEASURED}) ORDER BY {_by} LIMIT 5"
+    SQL[f"results_sort_{_i}"] = f"SELECT row_number() OVER (ORDER BY {_by}) AS place, * FROM ({MEASURED})"
 
 
 @query(f"SELECT algname, comprsize, dtime FROM ({MEASURED}) a WHERE NOT EXISTS (SELECT 1 FROM ({MEASURED}) b WHERE b.algname <> a.algname AND b.comprsize <= a.comprsize AND b.dtime >= a.dtime AND (b.comprsize < a.comprsize OR b.dtime > a.dtime OR b.algname < a.algname))")
@@ -288,6 +288,11 @@ for _name, _chain in {"bwt": ["bwt"], "mtf": ["mtf"], "rlt": ["rlt"], "zrlt": ["
     SQL[f"block_{_name}_round_trip"] = "SELECT event_id AS id, true AS restored FROM events"
 
 
+@query("SELECT event_id AS id, octet_length(encode(props))::BIGINT AS n, true AS restored, true AS within_a_bit_of_entropy FROM events")
+def block_huffman(s, d):
+    return blocks.huffman(props_blocks(s, d)).select("id", "n", "restored", "within_a_bit_of_entropy")
+
+
 @query()
 def block_huffman_size(s, d):
     return blocks.huffman_sizes(props_blocks(s, d))
@@ -304,7 +309,7 @@ def windowed_profile(s, d):
 # -- graphs --
 
 
-for _name in ["flatpack", "bitpack", "zstd", "lz4", "lz", "delta_zstd", "delta_flatpack", "num16", "num16_delta", "num32_range_pack", "num32_tokenize", "num64_delta", "num64_bitpack"]:
+for _name in ["huffman", "delta_huffman", "store", "num8", "num64", "flatpack", "bitpack", "zstd", "lz4", "lz", "delta_zstd", "delta_flatpack", "num16", "num16_delta", "num32_range_pack", "num32_tokenize", "num64_delta", "num64_bitpack"]:
 
     def _graph(s, d, name=_name):
         return graphs.round_trips(props_blocks(s, d), name).select("id", "restored")
@@ -331,3 +336,77 @@ FORESTS = [[graphs.Tree((0, -1, -1), (100.0, -1.0, 1.0), (1, 0, 0), (2, 0, 0), (
 def plan_numeric_forest(s, d):
     features = P.features(streams.price(s, d)).select("stream_id", "chunk_id", "cardinality", "range_size")
     return graphs.forest_choice(features, ["cardinality", "range_size"], FORESTS, ["zstd", "range_pack", "field_lz"])
+
+
+# -- codecs, parsers and selectors of the user; frames --
+
+
+def pieces(data):
+    """Sizes of the pieces of a text that end with a comma."""
+    return [len(x) + 1 for x in data.split(b",")[:-1]] + [len(data.split(b",")[-1])]
+
+
+def digits_apart(data):
+    """(size, tag) of runs of digits (1) and of all others (0)."""
+    import re
+
+    return [(len(m[0]), int(m[0][:1].isdigit())) for m in re.finditer(rb"[0-9]+|[^0-9]+", data)]
+
+
+USER = {"commas": custom.split_parser("commas", pieces), "digits": custom.dispatch_parser("digits", digits_apart), "etype": custom.tokens_of("etype", [b"c", b"e", b"p", b"s", b"v"])}
+TEXTS = "SELECT event_id AS id, props, encode(props) AS b FROM events"
+
+
+def frame_pieces(s, d):
+    return custom.frames(props_blocks(s, d), custom.Plan("commas"), USER, "pieces")
+
+
+@query(f"SELECT id, 0::BIGINT AS chunk_id, 1 AS version, 'pieces' AS comment, 1 AS outputs, 'serial' AS types, octet_length(b)::BIGINT AS size, 1 AS codecs, len(string_split(props, ','))::INT AS stored FROM ({TEXTS})")
+def frame_info(s, d):
+    return custom.info(frame_pieces(s, d))
+
+
+@query(
+    f"""SELECT id, 0 AS stream_no, NULL AS producer, 'commas' AS consumer, NULL::BIGINT AS stored_size FROM ({TEXTS})
+    UNION ALL SELECT id, i::INT, 'commas', NULL, octet_length(encode(p[i])) + (i < len(p))::INT FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT id, string_split(props, ',') AS p FROM ({TEXTS})))"""
+)
+def frame_inspect(s, d):
+    return custom.inspect(frame_pieces(s, d)).select("id", "stream_no", "producer", "consumer", "stored_size")
+
+
+@query(f"SELECT id, k::INT AS stream_no, CASE WHEN k = 1 THEN length(regexp_replace(props, '[0-9]', '', 'g')) ELSE length(regexp_replace(props, '[^0-9]', '', 'g')) END::BIGINT AS stored_size FROM ({TEXTS}), (SELECT unnest([1, 2]) AS k) WHERE k = 1 OR regexp_matches(props, '[0-9]')")
+def custom_dispatch_parser(s, d):
+    out = custom.inspect(custom.frames(props_blocks(s, d), custom.Plan("digits"), USER))
+    return out.where("producer = 'digits'").select("id", "stream_no", "stored_size")
+
+
+@query(f"SELECT id, n, CASE WHEN n % 2 = 1 THEN 'delta8>huffman' ELSE 'zstd' END AS chosen, true AS restored FROM (SELECT id, octet_length(b)::BIGINT AS n FROM ({TEXTS}))")
+def custom_selector(s, d):
+    chosen = custom.frames(props_blocks(s, d), lambda streams: custom.Plan("delta8", then=(custom.Plan("huffman"),)) if len(streams[0]) % 2 else custom.Plan("zstd"))
+    steps = custom.inspect(chosen).where("producer is not null").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stream_no", "producer"))), lambda r: r["producer"]), ">").alias("chosen"))
+    return chosen.join(steps, "id").select("id", "n", "chosen", "restored")
+
+
+@query(f"SELECT id, (i - 1)::BIGINT AS chunk_id, p[i] || CASE WHEN i < len(p) THEN ',' ELSE '' END AS text FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT id, string_split(props, ',') AS p FROM ({TEXTS})))")
+def custom_segmenter(s, d):
+    return custom.segmented(props_blocks(s, d), pieces).select("id", "chunk_id", F.decode("bytes", "UTF-8").alias("text"))
+
+
+@query("SELECT event_id AS id, lpad((strpos('cepsv', event_type[1]) - 1)::VARCHAR, 2, '0') AS token, true AS restored FROM events")
+def custom_tokens(s, d):
+    rows = streams.table(s, d, "events").select(F.col("event_id").alias("id"), F.lit(0).alias("chunk_id"), F.encode(F.substring("event_type", 1, 1), "UTF-8").alias("bytes"))
+    made = custom.frames(rows, custom.Plan("etype"), USER)
+    return made.select("id", F.hex(F.substr("frame", F.octet_length("frame"), F.lit(1))).alias("token"), "restored")
+
+
+@query(f"SELECT id, octet_length(b)::BIGINT AS n, true AS restored, true AS same_frame FROM ({TEXTS})")
+def plan_serialised(s, d):
+    plan = custom.Plan("commas", then=(custom.Plan("delta8", then=(custom.Plan("zstd"),)), custom.Plan("lz", then=(custom.Plan("huffman"),)), None))
+    again = custom.from_json(custom.to_json(plan))
+    a, b = (custom.frames(props_blocks(s, d), p, USER) for p in (plan, again))
+    return a.join(b.select("id", F.col("frame").alias("other")), "id").select("id", "n", "restored", (F.col("frame") == F.col("other")).alias("same_frame"))
+
+
+@query()
+def plan_catalogue(s, d):
+    return custom.listed(s)
