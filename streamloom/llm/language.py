@@ -10,7 +10,8 @@ cross-entropy per character.
 Rejection is calibrated on the fifth of the sample that the fit leaves out, for each language by itself (for languages of which
 it holds fewer than `least_rest` documents, on all together): the excess of a document of n characters is its cross-entropy less the
 language's mean, in units of 1 / sqrt(n), and the bound is `slack` times the `quantile` of the excess. A document is
-rejected if it exceeds that of its best language and also `least_ratio` times the mean.
+rejected if it exceeds that of its best language and also `least_ratio` times the mean (texts that mix two known languages come to
+about 1.5 times).
 
 Defined cases: null text or a text without a letter is `und` with score 0 and rejected; null labels are not learned from;
 without any labelled document everything is `und`; equal rows are judged alike; null doc_id counts as the text "" for
@@ -187,7 +188,7 @@ class Models:
 
 
 class Detector:
-    def __init__(self, texts: dict[str, list[str]], slack: float = 2.0, least_ratio: float = 1.3, quantile: float = 0.99, least_rest: int = 20):
+    def __init__(self, texts: dict[str, list[str]], slack: float = 2.0, least_ratio: float = 1.75, quantile: float = 0.99, least_rest: int = 20):
         left_out = lambda v: {i for i in range(len(v)) if i % 5 == 4 and len(v) >= 10}
         fit = {k: [t for i, t in enumerate(v) if t and i not in left_out(v)] for k, v in texts.items()}
         self.models = Models({k: v for k, v in fit.items() if v})
