@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.functions.coders import CODERS
+from streamloom.functions.transforms import MORE
+from streamloom.sources.streams import spread
 
 def as_bytes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8)
@@ -184,6 +187,7 @@ def undo_byte_transpose(data: bytes, width: int = 4) -> bytes:
 TRANSFORMS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "none": (bytes, bytes), "bwt": (bwt, undo_bwt), "mtf": (move_to_front, undo_move_to_front), "rlt": (run_length, undo_run_length), "zrlt": (zero_runs, undo_zero_runs),
     "srt": (sorted_rank, undo_sorted_rank), "pack": (alias_pack, undo_alias_pack), "mm": (step_delta, undo_step_delta), "transpose": (byte_transpose, undo_byte_transpose),
+    **MORE, **CODERS,
 }
 
 
@@ -210,7 +214,18 @@ def apply(blocks: DataFrame, names: list[str]) -> DataFrame:
             made = [chain(x, names) for x in data]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("chunk_id"), pa.array(made, pa.binary()), pa.array([undo_chain(m, names) == x for m, x in zip(made, data)])], names=["id", "chunk_id", "bytes", "restored"])
 
-    return blocks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, "id long, chunk_id long, bytes binary, restored boolean")
+    rows = blocks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), F.col("bytes").cast("binary"))
+    return spread(rows, "id", "chunk_id").mapInArrow(run, "id long, chunk_id long, bytes binary, restored boolean")
+
+
+def undo(blocks: DataFrame, names: list[str]) -> DataFrame:
+    """id, chunk_id, bytes of blocks as they were before the transforms, from the transformed bytes alone."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("chunk_id"), pa.array([undo_chain(x or b"", names) for x in b.column("bytes").to_pylist()], pa.binary())], names=["id", "chunk_id", "bytes"])
+
+    return blocks.select("id", "chunk_id", "bytes").mapInArrow(run, "id long, chunk_id long, bytes binary")
 
 
 def huffman_bits(counts: np.ndarray) -> int:

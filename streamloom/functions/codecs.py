@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from streamloom.sources.streams import spread
+
 # fixed values: name; version; first level; last level; parameter; threading
 REGISTRY = """
 memcpy;memcpy;0;0;0;BENCH_POOL_MT
@@ -268,11 +270,7 @@ def run(blobs: DataFrame, spec: str, repeats: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)], names=["id", "codec", "level", "iteration", "origsize", "comprsize", "ctime", "dtime", "restored"])
 
     rows = blobs.select(F.col("id").cast("long"), F.col("bytes").cast("binary"))
-    # a few files would leave most cores idle, and coding costs far more than moving the bytes once
-    cores = blobs.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(4 * cores, F.xxhash64("id", "bytes"))
-    return rows.mapInArrow(each, "id long, codec string, level int, iteration int, origsize long, comprsize long, ctime long, dtime long, restored boolean")
+    return spread(rows, "id", "bytes").mapInArrow(each, "id long, codec string, level int, iteration int, origsize long, comprsize long, ctime long, dtime long, restored boolean")
 
 
 def summarize(results: DataFrame, time_type: str = "fastest") -> DataFrame:

@@ -7,6 +7,7 @@ every graph of a list and keeps the strictly smallest result (ties: the first),
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Callable
@@ -18,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.functions import huffman
+from streamloom.functions.coders import CODERS, MIXTURES
+from streamloom.functions.transforms import MORE
+from streamloom.sources.streams import spread
 
 
 @dataclass(frozen=True)
@@ -207,6 +211,79 @@ def lz_decode(data: bytes) -> bytes:
     return bytes(out + literals[at:])
 
 
+def field_lz(width: int) -> Node:
+    """Matches of two elements or more, element by element: literal counts, match lengths and distances in elements, then literals
+    by their bytes (all first bytes, all second ones, ...), each stream packed on its own."""
+
+    def encode(data):
+        x, tail = split_ints(data, width)
+        values = x.tolist()
+        seen: dict[tuple, int] = {}
+        kept, counts, lengths, distances = [], [], [], []
+        at = begin = 0
+        while at + 2 <= len(values):
+            key = (values[at], values[at + 1])
+            from_ = seen.get(key)
+            seen[key] = at
+            if from_ is None:
+                at += 1
+                continue
+            n = 2
+            while at + n < len(values) and values[from_ + n] == values[at + n]:
+                n += 1
+            kept += values[begin:at]
+            counts.append(at - begin)
+            lengths.append(n)
+            distances.append(at - from_)
+            at += n
+            begin = at
+        kept += values[begin:]
+        literals = transpose(width).encode(np.array(kept, f"<u{width}").tobytes())
+        streams = [zstd_encode(s) for s in (*(np.array(c, "<u4").tobytes() for c in (counts, lengths, distances)), literals)]
+        return framed(tail, struct.pack("<4I", *map(len, streams)) + b"".join(streams))
+
+    def decode(data):
+        tail, body = unframed(data)
+        at, streams = 16, []
+        for n in struct.unpack_from("<4I", body):
+            streams.append(zstd_decode(body[at : at + n]))
+            at += n
+        counts, lengths, distances = (np.frombuffer(s, "<u4").tolist() for s in streams[:3])
+        kept, at, out = np.frombuffer(transpose(width).decode(streams[3]), f"<u{width}").tolist(), 0, []
+        for c, n, d in zip(counts, lengths, distances):
+            out += kept[at : at + c]
+            at += c
+            for _ in range(n):
+                out.append(out[-d])
+        return np.array(out + kept[at:], f"<u{width}").tobytes() + tail
+
+    return Node(f"field_lz{8 * width}", encode, decode)
+
+
+def partition_bitpack(width: int) -> Node:
+    """The number of bits of each integer (a Huffman code of bytes), then what follows the highest bit, in just so many bits."""
+
+    def encode(data):
+        x, tail = split_ints(data, width)
+        values = x.tolist()
+        bits = np.array([v.bit_length() for v in values], np.uint8)
+        rest = np.array([v >> i & 1 for v in values for i in range(v.bit_length() - 1)], np.uint8)
+        head = huffman.encode(bits.tobytes())
+        return framed(struct.pack("<I", len(head)) + head + tail, np.packbits(rest, bitorder="little").tobytes())
+
+    def decode(data):
+        header, body = unframed(data)
+        n = struct.unpack_from("<I", header)[0]
+        bits, rest = huffman.decode(header[4 : 4 + n]), np.unpackbits(np.frombuffer(body, np.uint8), bitorder="little").tolist()
+        out, at = [], 0
+        for k in bits:
+            out.append(sum(b << i for i, b in enumerate(rest[at : at + k - 1])) | 1 << k - 1 if k else 0)
+            at += max(k - 1, 0)
+        return np.array(out, f"<u{width}").tobytes() + header[4 + n :]
+
+    return Node(f"partition_bitpack{8 * width}", encode, decode)
+
+
 def zstd_encode(data):
     import zstandard
 
@@ -224,13 +301,15 @@ PLAIN = {
     "lz": Node("lz", lz_encode, lz_decode), "huffman": Node("huffman", huffman.encode, huffman.decode), "zstd": Node("zstd", zstd_encode, zstd_decode),
     "deflate": Node("deflate", lambda d: zlib.compress(d, 6), zlib.decompress), "lz4": Node("lz4", lambda d: struct.pack("<I", len(d)) + bytes(pa.Codec("lz4_raw").compress(d)), lambda d: bytes(pa.Codec("lz4_raw").decompress(d[4:], struct.unpack_from("<I", d)[0]))),
 }
-SIZED = {"delta": delta, "zigzag": zigzag, "range_pack": range_pack, "tokenize": tokenize, "transpose": transpose, "bitpack": bit_pack}
+PLAIN |= {name: Node(name, *pair) for name, pair in {**MORE, **CODERS}.items()}
+SIZED = {"field_lz": field_lz, "partition_bitpack": partition_bitpack, "delta": delta, "zigzag": zigzag, "range_pack": range_pack, "tokenize": tokenize, "transpose": transpose, "bitpack": bit_pack}
 
 
+@functools.lru_cache(maxsize=None)
 def node(name: str) -> Node:
     if name in PLAIN:
         return PLAIN[name]
-    kind = name.rstrip("0123456789")
+    kind = name.rstrip("0123456789")  # nodes of a width end in its bits
     return SIZED[kind](int(name[len(kind) :]) // 8)
 
 
@@ -248,13 +327,19 @@ def decode(data: bytes, graph: tuple[str, ...]) -> bytes:
 
 #: named graphs over bytes and over integers of a width
 GRAPHS: dict[str, tuple[str, ...]] = {"store": ("store",), "constant": ("constant",), "flatpack": ("flatpack",), "bitpack": ("bitpack8",), "zstd": ("zstd",), "lz4": ("lz4",), "lz": ("lz", "zstd"), "delta_zstd": ("delta8", "zstd"), "delta_flatpack": ("delta8", "flatpack"), "huffman": ("huffman",), "delta_huffman": ("delta8", "huffman")}
+GRAPHS |= {name: (name,) for name in CODERS}
 for _w in (8, 16, 32, 64):
     GRAPHS |= {f"num{_w}": (f"transpose{_w}", "zstd"), f"num{_w}_delta": (f"delta{_w}", f"zigzag{_w}", f"transpose{_w}", "zstd"), f"num{_w}_range_pack": (f"range_pack{_w}", "zstd"), f"num{_w}_tokenize": (f"tokenize{_w}", "zstd"), f"num{_w}_bitpack": (f"bitpack{_w}",)}
+    GRAPHS |= {f"field_lz{_w}": (f"field_lz{_w}",), f"delta{_w}_field_lz": (f"delta{_w}", f"field_lz{_w}"), f"tokenize{_w}_delta_field_lz": (f"tokenize{_w}", f"delta{_w}", f"field_lz{_w}"), f"partition_bitpack{_w}": (f"partition_bitpack{_w}",)}
+
+
+#: what a selector tries by itself: adaptive coders are left to those who name them, as they take a step for each bit
+TRIED = {name: g for name, g in GRAPHS.items() if name not in MIXTURES}
 
 
 def try_all(blocks: DataFrame, graphs: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """id, chunk_id, graph, n, size, restored: the smallest result of each block; graphs that fail on a block are left out."""
-    todo = graphs or GRAPHS
+    todo = graphs or TRIED
 
     def run(batches):
         for b in batches:
@@ -272,12 +357,27 @@ def try_all(blocks: DataFrame, graphs: dict[str, tuple[str, ...]] | None = None)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=["id", "chunk_id", "graph", "n", "size", "restored"])
 
-    return blocks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, "id long, chunk_id long, graph string, n long, size long, restored boolean")
+    rows = blocks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), F.col("bytes").cast("binary"))
+    return spread(rows, "id", "chunk_id").mapInArrow(run, "id long, chunk_id long, graph string, n long, size long, restored boolean")
+
+
+
+def mapped(blocks: DataFrame, change: Callable[[bytes], bytes]) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("chunk_id"), pa.array([change(x or b"") for x in b.column("bytes").to_pylist()], pa.binary())], names=["id", "chunk_id", "bytes"])
+
+    return blocks.select(F.col("id").cast("long"), F.col("chunk_id").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, "id long, chunk_id long, bytes binary")
+
+
+def stored(blocks: DataFrame, graph: tuple[str, ...]) -> DataFrame:
+    """id, chunk_id, bytes that the graph makes of each block."""
+    return mapped(spread(blocks, "id", "chunk_id"), lambda x: encode(x, graph))
 
 
-def round_trips(blocks: DataFrame, graph: str) -> DataFrame:
-    """id, size, restored of one graph."""
-    return try_all(blocks, {graph: GRAPHS[graph]}).select("id", "size", "restored")
+def restored(made: DataFrame, graph: tuple[str, ...]) -> DataFrame:
+    """id, chunk_id, bytes of the blocks, from what is stored alone."""
+    return mapped(made, lambda x: decode(x, graph))
 
 
 def train_dictionary(samples: DataFrame, size: int = 16384, rows: int = 2000) -> bytes:

@@ -279,13 +279,73 @@ def props_blocks(s, d):
     return streams.table(s, d, "events").select(F.col("event_id").alias("id"), F.lit(0).cast("long").alias("chunk_id"), F.encode("props", "UTF-8").alias("bytes"))
 
 
-for _name, _chain in {"bwt": ["bwt"], "mtf": ["mtf"], "rlt": ["rlt"], "zrlt": ["zrlt"], "srt": ["srt"], "pack": ["pack"], "mm": ["mm"], "transpose": ["transpose"], "chain": ["bwt", "mtf", "zrlt"]}.items():
+def part_blocks(s, d):
+    """A block for each part: its name, type, key, brand and name again."""
+    line = F.concat_ws("/", "p_name", "p_type", F.lpad(F.col("p_partkey").cast("string"), 9, "0"), "p_brand", "p_name")
+    return streams.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0).cast("long").alias("chunk_id"), F.encode(line, "UTF-8").alias("bytes"))
 
-    def _block(s, d, names=_chain):
-        return blocks.apply(props_blocks(s, d), names).select("id", "restored")
 
-    QUERIES[f"block_{_name}_round_trip"] = _block
-    SQL[f"block_{_name}_round_trip"] = "SELECT event_id AS id, true AS restored FROM events"
+#: the same transforms in SQL: from rows (id, i, v), a row for each byte, to such rows
+RAW = "SELECT id, i, ('0x' || substr(h, 2 * i + 1, 2))::INT AS v FROM (SELECT id, h, unnest(range(0, length(h) // 2)) AS i FROM (SELECT p_partkey AS id, hex(encode(concat_ws('/', p_name, p_type, lpad(p_partkey::VARCHAR, 9, '0'), p_brand, p_name))) AS h FROM part))"
+EACH = "PARTITION BY id ORDER BY i"
+COUNTED = "SELECT *, count(*) OVER (PARTITION BY id) AS n FROM ({r})"
+WHOLE = "SELECT id, string_agg(printf('%02X', v), '' ORDER BY i) AS h, count(*) AS n FROM ({r}) GROUP BY id"
+RUNS = f"SELECT *, sum(e) OVER ({EACH}) AS run FROM (SELECT *, CASE WHEN lag(v) OVER ({EACH}) = v {{same}} THEN 0 ELSE 1 END AS e FROM ({{r}}))"
+PAIRS_OF_RUNS = f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY place, k) - 1 AS i, CASE k WHEN 0 THEN v ELSE c - 1 END AS v FROM (SELECT id, min(i) AS place, any_value(v) AS v, count(*) AS c FROM (SELECT *, (i - min(i) OVER (PARTITION BY id, run)) // 256 AS part FROM ({RUNS})) GROUP BY id, run, part), (SELECT unnest([0, 1]) AS k) WHERE k = 0 {{second}}"
+LITTLE = "(({x}) >> (8 * {i})) & 255"
+#: symbols by falling frequency within a block
+RANKED = "SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, v) - 1 AS rank FROM ({r}) GROUP BY id, v"
+#: for each byte and each symbol that came before it, the last and the last but one time
+BEFORE = "SELECT a.id, a.i, a.v, b.v AS s, max(b.i) AS t, coalesce(max(b.i) FILTER (b.i < b.latest), 0) AS u FROM ({r}) a JOIN (SELECT x.*, y.i AS now, max(x.i) OVER (PARTITION BY x.id, y.i, x.v) AS latest FROM ({r}) x JOIN ({r}) y ON x.id = y.id AND x.i < y.i) b ON a.id = b.id AND a.i = b.now GROUP BY ALL"
+TRANSFORMED = {
+    "transpose": f"SELECT id, CASE WHEN i < n // 4 * 4 THEN i % 4 * (n // 4) + i // 4 ELSE i END AS i, v FROM ({COUNTED})",
+    "mm": f"SELECT id, i, CASE WHEN i >= 4 THEN (v - lag(v, 4) OVER ({EACH}) + 256) % 256 ELSE v END AS v FROM ({{r}})",
+    "rlt": PAIRS_OF_RUNS.replace("{same}", "").replace("{second}", "OR true"),
+    "zrlt": PAIRS_OF_RUNS.replace("{same}", "AND v = 0").replace("{second}", "OR v = 0"),
+    "mtf": f"SELECT id, i, CASE WHEN own IS NULL THEN v + above ELSE since END AS v FROM (SELECT a.id, a.i, a.v, max(t) FILTER (s = a.v) AS own, count(*) FILTER (s > a.v) AS above, count(*) FILTER (t > mine) AS since FROM ({{r}}) a LEFT JOIN (SELECT *, max(t) FILTER (s = v) OVER (PARTITION BY id, i) AS mine FROM ({BEFORE})) b ON a.id = b.id AND a.i = b.i GROUP BY a.id, a.i, a.v)",
+    "rank": f"SELECT id, i, CASE WHEN own IS NULL THEN v + above ELSE ahead END AS v FROM (SELECT a.id, a.i, a.v, max(t) FILTER (s = a.v) AS own, count(*) FILTER (s > a.v) AS above, count(*) FILTER (key > my_key OR key = my_key AND t > my_t) AS ahead FROM ({{r}}) a LEFT JOIN (SELECT *, max(key) FILTER (s = v) OVER (PARTITION BY id, i) AS my_key, max(t) FILTER (s = v) OVER (PARTITION BY id, i) AS my_t FROM (SELECT *, (t + u) // 2 AS key FROM ({BEFORE}))) b ON a.id = b.id AND a.i = b.i GROUP BY a.id, a.i, a.v)",
+    "srt": f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY c DESC, v) - 1 AS i, v FROM (SELECT k.id, k.v, count(r.i) AS c FROM (SELECT id, unnest(range(0, 256)) AS v FROM (SELECT DISTINCT id FROM ({{r}}))) k LEFT JOIN ({{r}}) r ON r.id = k.id AND r.v = k.v GROUP BY ALL) UNION ALL SELECT r.id, 256 + r.i, k.rank FROM ({{r}}) r JOIN ({RANKED}) k ON r.id = k.id AND r.v = k.v",
+    "bwt": f"SELECT id, k AS i, {LITTLE.format(x="origin", i="k")} AS v FROM (SELECT id, place AS origin, unnest([0, 1, 2, 3]) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turned, i) - 1 AS place FROM (SELECT id, i, substr(h, 2 * i + 1) || substr(h, 1, 2 * i) AS turned FROM (SELECT *, unnest(range(0, n)) AS i FROM ({WHOLE})))) WHERE i = 0) UNION ALL SELECT id, 4 + row_number() OVER (PARTITION BY id ORDER BY turned, i) - 1, ('0x' || right(turned, 2))::INT FROM (SELECT id, i, substr(h, 2 * i + 1) || substr(h, 1, 2 * i) AS turned FROM (SELECT *, unnest(range(0, n)) AS i FROM ({WHOLE})))",
+    "bwts": f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY repeat(turned, 2 * n)[: 4 * n], i) - 1 AS i, ('0x' || right(turned, 2))::INT AS v FROM (SELECT id, n, i, substr(word, 2 * (i - start) + 1) || substr(word, 1, 2 * (i - start)) AS turned FROM (SELECT *, substr(h, 2 * start + 1, 2 * (finish - start)) AS word FROM (SELECT *, max(CASE WHEN least_before IS NULL OR suffix < least_before THEN i END) OVER ({EACH}) AS start, coalesce(min(CASE WHEN suffix < least_before THEN i END) OVER ({EACH} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS finish FROM (SELECT *, min(suffix) OVER ({EACH} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least_before FROM (SELECT *, substr(h, 2 * i + 1) AS suffix FROM (SELECT *, unnest(range(0, n)) AS i FROM ({WHOLE})))))))",
+}
+
+
+def encoded(names: list[str]) -> str:
+    rows = RAW
+    for n in names:
+        rows = TRANSFORMED[n].replace("{r}", rows)
+    return f"SELECT id, string_agg(printf('%02X', v), '' ORDER BY i) AS encoded, true AS restored FROM ({rows}) GROUP BY id"
+
+
+for _chain in [["bwt"], ["bwts"], ["mtf"], ["rank"], ["rlt"], ["srt"], ["mm"], ["transpose"], ["bwt", "mtf", "zrlt"]]:
+
+    def _block(s, d, names=tuple(_chain)):
+        return blocks.apply(part_blocks(s, d), list(names)).select("id", F.hex("bytes").alias("encoded"), "restored")
+
+    _name = f"block_{_chain[0] if len(_chain) == 1 else 'chain'}"
+    QUERIES[_name], SQL[_name] = _block, encoded(_chain)
+
+def whole_text(undone):
+    """doc_id and the digest of the text whose blocks were undone."""
+    parts = F.sort_array(F.collect_list(F.struct("chunk_id", F.hex("bytes").alias("h"))))
+    return undone.groupBy("id").agg(F.md5(F.unhex(F.array_join(F.transform(parts, lambda p: p["h"]), ""))).alias("digest"))
+
+
+for _name in ["pack", "zrlt", "lzp", "rolz", "rolzx", "utf", "dna", "exe", "dict", "arm", "arm64", "ppc", "fse", "ans0", "ans1", "range"]:
+
+    def _restored(s, d, name=_name):
+        return whole_text(blocks.undo(blocks.apply(streams.blocks(blobs(s, d), "id", "bytes", 1000), [name]), [name]))
+
+    QUERIES[f"block_{_name}_restored"] = _restored
+    SQL[f"block_{_name}_restored"] = "SELECT doc_id AS id, md5(coalesce(text, '')) AS digest FROM documents"
+
+for _name in ["fpaq", "cm", "paq", "tpaq", "tpaqx"]:
+
+    def _mixed(s, d, name=_name):
+        return blocks.undo(blocks.apply(part_blocks(s, d), [name]), [name]).select("id", F.hex("bytes").alias("bytes_hex"))
+
+    QUERIES[f"block_{_name}_restored"] = _mixed
+    SQL[f"block_{_name}_restored"] = f"SELECT id, string_agg(printf('%02X', v), '' ORDER BY i) AS bytes_hex FROM ({RAW}) GROUP BY id"
 
 
 @query("SELECT event_id AS id, octet_length(encode(props))::BIGINT AS n, true AS restored, true AS within_a_bit_of_entropy FROM events")
@@ -309,13 +369,14 @@ def windowed_profile(s, d):
 # -- graphs --
 
 
-for _name in ["huffman", "delta_huffman", "store", "num8", "num64", "flatpack", "bitpack", "zstd", "lz4", "lz", "delta_zstd", "delta_flatpack", "num16", "num16_delta", "num32_range_pack", "num32_tokenize", "num64_delta", "num64_bitpack"]:
+for _name in ["huffman", "delta_huffman", "store", "num8", "num64", "flatpack", "bitpack", "zstd", "lz4", "lz", "delta_zstd", "delta_flatpack", "num16", "num16_delta", "num32_range_pack", "num32_tokenize", "num64_delta", "num64_bitpack", "fse", "field_lz8", "field_lz16", "field_lz32", "field_lz64", "delta32_field_lz", "tokenize16_delta_field_lz", "partition_bitpack32"]:
 
     def _graph(s, d, name=_name):
-        return graphs.round_trips(props_blocks(s, d), name).select("id", "restored")
+        graph = graphs.GRAPHS[name]
+        return whole_text(graphs.restored(graphs.stored(streams.blocks(blobs(s, d), "id", "bytes", 1000), graph), graph))
 
-    QUERIES[f"graph_{_name}_round_trip"] = _graph
-    SQL[f"graph_{_name}_round_trip"] = "SELECT event_id AS id, true AS restored FROM events"
+    QUERIES[f"graph_{_name}_restored"] = _graph
+    SQL[f"graph_{_name}_restored"] = "SELECT doc_id AS id, md5(coalesce(text, '')) AS digest FROM documents"
 
 
 @query("SELECT event_id AS id, octet_length(encode(props))::BIGINT AS n, true AS no_larger, true AS restored FROM events")

@@ -79,3 +79,9 @@ def blocks(df: DataFrame, key: str, content: str, size: int = 16 << 20, align: i
     cut = F.sequence(F.lit(0), F.greatest(F.octet_length(content) - 1, F.lit(0)), F.lit(size))
     rows = df.select(key, F.col(content), F.posexplode(cut).alias("chunk_id", "at"))
     return rows.select(key, F.col("chunk_id").cast("long"), F.expr(f"substring({content}, at + 1, {size})").alias("bytes"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores where a few files would leave most of them idle, for work that costs far more than moving the rows once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, F.xxhash64(*keys)) if df.rdd.getNumPartitions() < cores else df
