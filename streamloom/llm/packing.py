@@ -37,6 +37,9 @@ from streamloom.llm.common import Staged, slices, table, text_or_empty
 # fixed value: how the tokenizer cuts text that holds only the characters "!" to "~" and the letters of Latin-1
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: what a whole text of these characters and blanks is cut into in lower case, and what such a text does not hold
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")
+STRANGE = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
 BLANK = re.compile(r"[ \n\t\r]+")
 #: byte-level characters: bytes that print stand for themselves, others for the code points from 256 on
 PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -70,10 +73,16 @@ class Words(dict):
             return self[low]
         return array(self.unit, [t.id for t in self.merge(low)]).tobytes()
 
+    def part(self, low: str) -> bytes:
+        """Ids of what PARTS found."""
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return array(self.unit, [t.id for t in self.merge(low)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         value = self.before.get(word)
         if value is None:
-            value = self.make(word)
+            value = self.part(word) if PARTS.fullmatch(word) else self.make(word)
         if len(word) <= LONGEST:
             if len(self) >= WORD_LIMIT:
                 self.before = dict(self)
@@ -101,6 +110,8 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         words = self.words
+        if STRANGE.search(text) is None:
+            return np.frombuffer(b"".join(map(words.__getitem__, PARTS.findall(text.lower()))), words.unit).astype(np.uint32)
         cut = text.split() if RARE.search(text) is None else BLANK.split(text)
         return np.frombuffer(b"".join(map(words.__getitem__, cut)), words.unit).astype(np.uint32)
 

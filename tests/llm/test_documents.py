@@ -248,6 +248,14 @@ def test_words_have_the_tokenizers_ids(tokenizer):
         assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["aAbsStTdDlLmrRevVéÉßÀþ'\"',.!<>09 \n\t\r", "aS'lé ÉŸ,.<|>0\n µ÷×ªº\x0b\x0c\x00\x1cςΣİﬁ中"])
+def test_whole_texts_have_the_tokenizers_ids(tokenizer, letters):
+    rng, encoder = np.random.default_rng(5), packing.Encoder(tokenizer)
+    for n in rng.integers(0, 30, 4000):
+        text = "".join(rng.choice(list(letters), n))
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_column_generation_covers_the_demand():
     rng = np.random.default_rng(3)
     demand = rng.integers(0, 50, 32)
