@@ -354,3 +354,12 @@ def bit_unpack(df: DataFrame) -> DataFrame:
     rows = df.select(*KEY, "bits", "count", text.alias("text"))
     value = F.conv(F.substr("text", (F.length("text") - (F.col("pos") + 1) * F.col("bits") + 1).cast("int"), F.col("bits").cast("int")), 2, 10).cast("long")
     return rows.select(*KEY, "bits", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("pos")).select(*KEY, "pos", value.alias("value"))
+
+
+def byteswap(df: DataFrame, bits: int) -> DataFrame:
+    """Integers of 16, 32 or 64 bits with their bytes in reverse; its own inverse. 16 and 32 bits are unsigned."""
+    n = bits // 8
+    out = F.lit(0).cast("long")
+    for i in range(n):
+        out = out.bitwiseOR(F.shiftleft(byte_of(F.col("value"), i), 8 * (n - 1 - i)))
+    return df.select(*KEY, "pos", out.alias("value"))

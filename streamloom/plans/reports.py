@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from streamloom.functions import blocks, chunking, codecs, custom, graphs, records
 from streamloom.operators import catalogue as C
+from streamloom.operators import numeric as N
 from streamloom.operators import profile as P
 from streamloom.plans import choose
 from streamloom.plans.encodings import SIZES, STREAMS
-from streamloom.sources import streams
+from streamloom.sources import store, streams
 from streamloom.streaming import profiles
 
 QUERIES: dict = {}
@@ -127,6 +128,44 @@ def numeric_blocks(s, d):
     return streams.blocks(blobs(s, d), "id", "bytes", 503, align=4).select("id", "chunk_id", F.octet_length("bytes").alias("size"))
 
 
+@query("SELECT doc_id AS id, substr(hex(encode(coalesce(text, ''))), 1401, 2400) AS bytes_hex FROM documents")
+def store_range(s, d):
+    return store.read(store.pack(blobs(s, d), size=500), start=700, length=1200).select("id", F.hex("bytes").alias("bytes_hex"))
+
+
+@query("SELECT doc_id AS id, md5(coalesce(text, '')) AS digest FROM documents")
+def store_whole(s, d):
+    return store.read(store.pack(blobs(s, d), "xz", 1, size=4096, max_input=1500), "xz").select("id", F.md5("bytes").alias("digest"))
+
+
+@query("SELECT doc_id AS id, n AS size, greatest((n + 499) // 500, 1) AS chunks FROM (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)")
+def store_list(s, d):
+    return store.listed(store.pack(blobs(s, d), size=500))
+
+
+@query("SELECT doc_id AS id, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS start, n AS size FROM (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)")
+def store_joined(s, d):
+    return store.joined(blobs(s, d), 64)
+
+
+@query("SELECT doc_id AS id, n + n // 8 + 1024 AS most, true AS within FROM (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)")
+def store_bound(s, d):
+    made = store.pack(blobs(s, d), "lz4", 1, size=1 << 26)
+    return made.select("id", store.bound(F.col("size")).alias("most"), (F.octet_length("stored") <= store.bound(F.col("size"))).alias("within"))
+
+
+# -- bytes in reverse --
+
+for _bits in (16, 32, 64):
+    _sum = " + ".join(f"(((value >> {8 * i}) & 255)::HUGEINT << {_bits - 8 - 8 * i})" for i in range(_bits // 8))
+
+    def _swapped(s, d, bits=_bits):
+        return N.byteswap(streams.price(s, d), bits)
+
+    QUERIES[f"byteswap_{_bits}"] = _swapped
+    SQL[f"byteswap_{_bits}"] = f"WITH {STREAMS} SELECT stream_id, chunk_id, pos, (CASE WHEN x >= 9223372036854775808::HUGEINT THEN x - 18446744073709551616::HUGEINT ELSE x END)::BIGINT AS value FROM (SELECT *, {_sum} AS x FROM price)"
+
+
 # -- choice of plans --
 
 
@@ -147,6 +186,34 @@ def plan_brute_force(s, d):
     return choose.brute_force(z.select("stream_id", "chunk_id", F.explode(options).alias("o")).select("stream_id", "chunk_id", "o.*"))
 
 
+@query(f"WITH {STREAMS}, {SIZES}, c AS (SELECT stream_id, chunk_id, unnest([0, 1, 2, 3, 4]) AS i, unnest(['store', 'bitpack', 'flatpack', 'huffman', 'constant']) AS candidate, unnest([store, bitpack, flatpack, CASE WHEN n > 64 THEN huffman + greatest(32, ceil(n / 100.0)) END, CASE WHEN cardinality = 1 THEN constant END])::BIGINT AS size FROM s) SELECT stream_id, chunk_id, candidate, size FROM c QUALIFY row_number() OVER (PARTITION BY stream_id, chunk_id ORDER BY size NULLS LAST, i) = 1")
+def plan_entropy_choice_old_format(s, d):
+    z = P.sizes(streams.text_bytes(s, d))
+    sizes = {"store": F.col("store"), "bitpack": F.col("bitpack"), "flatpack": F.col("flatpack"), "huffman": F.when(F.col("n") > 64, F.col("huffman") + F.greatest(F.lit(32), F.ceil(F.col("n") / 100))), "constant": F.when(F.col("cardinality") == 1, F.col("constant"))}
+    options = F.array(*[F.struct(F.lit(i).alias("candidate_no"), F.lit(n).alias("candidate"), x.cast("long").alias("size")) for i, (n, x) in enumerate(sizes.items())])
+    return choose.brute_force(z.select("stream_id", "chunk_id", F.explode(options).alias("o")).select("stream_id", "chunk_id", "o.*"))
+
+
+@query(
+    """WITH v AS (SELECT 'customers' AS stream_id, o_orderkey // 1024 AS chunk_id, (o_custkey % CASE WHEN o_orderkey // 1024 % 3 = 0 THEN 40 ELSE 60000 END) * CASE WHEN o_orderkey // 1024 % 3 = 0 THEN 997 ELSE 1 END AS value FROM orders),
+    c AS (SELECT stream_id, chunk_id, value, count(*) AS c FROM v GROUP BY ALL), s AS (SELECT stream_id, chunk_id, sum(c)::BIGINT AS n, count(*) AS cardinality, max(value) AS top, sum(c * log2(c)) AS clog FROM c GROUP BY ALL),
+    e AS (SELECT *, round(log2(n) - clog / n, 9) AS entropy, 2 * n AS store, ceil(n * greatest(floor(log2(greatest(top, 1))) + 1, 1) / 8) AS bitpack FROM s), h AS (SELECT *, ceil(greatest(1.0, entropy) * n / 8) + greatest(100, top // 4) AS huffman FROM e)
+    SELECT stream_id, chunk_id, n, cardinality, CASE WHEN cardinality = 1 THEN 'constant' WHEN bitpack <= huffman AND bitpack < store THEN 'bitpack' WHEN entropy > 15 OR huffman >= store THEN 'store' WHEN cardinality < 256 THEN 'tokenize_huffman' ELSE 'huffman_struct' END AS choice FROM h"""
+)
+def plan_two_byte_choice(s, d):
+    part = F.expr("o_orderkey div 1024")
+    few = part % 3 == 0
+    rows = streams.table(s, d, "orders").select(F.lit("customers").alias("stream_id"), part.alias("chunk_id"), (F.col("o_custkey") % F.when(few, 40).otherwise(60000) * F.when(few, 997).otherwise(1)).alias("value"))
+    return choose.two_byte_choice(rows)
+
+
+@query()
+def plan_context_clusters(s, d):
+    """Types of events by the user's last digit: digits whose types are spread alike share a code."""
+    e = streams.table(s, d, "events").select(F.lit("types").alias("stream_id"), (F.col("user_id") % 10).alias("context"), F.ascii("event_type").alias("symbol"))
+    return choose.merged_contexts(e.groupBy("stream_id", "context", "symbol").agg(F.count("*").alias("n")))
+
+
 @query(f"WITH {STREAMS} SELECT 'price' AS stream_id, 'numeric' AS type, 8 AS elt_width, count(DISTINCT chunk_id) AS chunks, count(*) AS elements, 'field_lz' AS graph FROM price UNION ALL SELECT 'event_type', 'string', 0, count(DISTINCT chunk_id), count(*), 'separate_zstd' FROM etype")
 def plan_by_type(s, d):
     return choose.by_type(streams.catalog_of(streams.price(s, d), "numeric", 8).unionByName(streams.catalog_of(streams.event_type(s, d), "string", 0)))
