@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -76,9 +77,16 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def slices(batches, rows: int = 1000):
+#: what workers remember from task to task stands in a module of this name
+KEPT = "_streamloom_kept"
+
+
+def slices(batches, rows: int = 1000, keep: bool = False):
     """Arrow batches in parts of few rows: texts become Python objects a part at a time. What a task has freed goes back to the
-    system when it ends, as workers live on."""
+    system when it ends, as workers live on. What a worker remembers goes when it turns to a task that has no use for it
+    (without keep)."""
+    if not keep:
+        sys.modules.pop(KEPT, None)
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)

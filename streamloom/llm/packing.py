@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Staged, slices, table, text_or_empty
+from streamloom.llm.common import KEPT, Staged, slices, table, text_or_empty
 
 # fixed value: how the tokenizer cuts text that holds only the characters "!" to "~" and the letters of Latin-1
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
@@ -103,7 +103,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> "Encoder":
         """One for each Python worker: it outlives the task."""
-        kept = sys.modules.setdefault("_streamloom_kept", types.ModuleType("_streamloom_kept"))
+        kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT))
         if getattr(kept, "encoder_path", None) != path:
             kept.encoder, kept.encoder_path = cls(path), path
         return kept.encoder
@@ -122,7 +122,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -
 
     def run(batches):
         encoder = Encoder.of(tokenizer_path)
-        for b in slices(batches):
+        for b in slices(batches, keep=True):
             ids_col, out = b.column("doc_id").to_pylist(), []
             for doc, text in zip(ids_col, b.column("text").to_pylist()):
                 ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
