@@ -8,9 +8,10 @@ that few rows have form one shard without centroids. In a shard the nearest neig
 and robust pruning keeps those that no kept neighbour is much closer to; the adjacency lists of a node from all its shards
 are united. Then every node is a query: in each of its shards (and the next nearest ones, `probes` in all) a greedy beam search
 from the shard's medoid, from the query itself where it is a member, and from a node of each part of the graph that no edge
-leads into (`entries`: all nodes can be reached from these) finds the query's surroundings, and the search expands through
-neighbours for as long as they are within the threshold. Pairs found are verified with cosines in double precision. A pair is
-kept once, from its smaller to its larger node; links of copies are counted by weight.
+leads into (`entries`: all nodes can be reached from these) finds the query's surroundings. The search expands to all members that
+edges or other finds within the threshold connect with these, in matrix products: cosines in double precision decide. No pair
+leaves its shard: links are counted there, each pair in the smallest of the shards that can see it (its nodes know where they are),
+and a node's connection goes out as one edge to the first node of its component. What a shard gives is bounded by its rows.
 
 `audit` measures recall against brute force for the queries whose id is divisible by 20.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from streamloom.llm.links import components
 from streamloom.llm.windows import mixed
 
 THRESHOLD = 0.9
+#: what single precision may be off by
+SLACK = 1e-5
 
 
 def nodes_of(vectors: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
@@ -127,15 +131,16 @@ def entries(graph: np.ndarray, medoid: int) -> np.ndarray:
     return np.array([medoid, *kept])
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray | None = None, beam: int = 32, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, node) pairs within the threshold. graph: node x degree, -1 where there is no edge; starts: nodes that every
-    query starts from; own: of each query the node that it is, or -1."""
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray | None = None, beam: int = 32, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, node) pairs within the threshold that the beam meets: the surroundings of each query, which `regions` complete.
+    graph: node x degree, -1 where there is no edge; starts: nodes that every query starts from; own: of each query the node
+    that it is, or -1. The walk is in single precision, with a slack; what it finds is verified later."""
     found_q, found_n = [], []
     n = len(x)
-    slack = threshold - 1e-6
+    x, slack = x.astype(np.float32), threshold - SLACK
     width = beam + len(starts)
     for i in range(0, len(queries), block):
-        q = queries[i : i + block]
+        q = queries[i : i + block].astype(np.float32)
         rows = np.arange(len(q))
         seen = np.zeros((len(q), n + 1), bool)
         seen[:, n] = True  # stands for "no edge"
@@ -145,15 +150,16 @@ def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: n
             first = np.concatenate([first, np.where((mine < 0) | (first == mine).any(axis=1, keepdims=True), n, mine)], axis=1)
         is_node = first < n
         seen[rows[:, None], first] = True
-        pool = np.full((len(q), width), -1)
-        worth = np.full((len(q), width), -9.0)
-        open_ = np.zeros((len(q), width), bool)
         k = first.shape[1]
+        pool = np.full((len(q), max(width, k)), -1)
+        worth = np.full(pool.shape, -9, np.float32)
+        open_ = np.zeros(pool.shape, bool)
         pool[:, :k] = np.where(is_node, first, -1)
         worth[:, :k] = np.where(is_node, np.einsum("qd,qkd->qk", q, x[np.minimum(first, n - 1)]), -9)
         open_[:, :k] = is_node
         a, b = np.nonzero(is_node & (worth[:, :k] >= slack))
-        hits_q, hits_n = [a], [first[a, b]]
+        found_q.append(a + i)
+        found_n.append(first[a, b])
         while open_.any():
             best = np.where(open_, worth, -99).argmax(axis=1)
             live = np.flatnonzero(open_[rows, best])
@@ -162,35 +168,133 @@ def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: n
             near = graph[at]
             near = np.where(near < 0, n, near)
             new = ~seen[live[:, None], near]
+            some = new.any(axis=1)
+            if not some.any():
+                continue
+            live, near, new = live[some], near[some], new[some]
             seen[live[:, None], near] = True
-            value = np.where(new, np.einsum("qd,qkd->qk", q[live], x[np.minimum(near, n - 1)]), -9)
+            a, b = np.nonzero(new)
+            value = np.full(near.shape, -9, np.float32)
+            value[a, b] = np.einsum("nd,nd->n", q[live[a]], x[near[a, b]])
             a, b = np.nonzero(value >= slack)
-            hits_q.append(live[a])
-            hits_n.append(near[a, b])
-            # hits leave the beam: the expansion below follows them
+            found_q.append(live[a] + i)
+            found_n.append(near[a, b])
             joined = np.concatenate([worth[live], value], axis=1)
-            top = np.argpartition(-joined, width - 1, axis=1)[:, :width]
+            top = np.argpartition(-joined, worth.shape[1] - 1, axis=1)[:, : worth.shape[1]]
             pool[live] = np.take_along_axis(np.concatenate([pool[live], near], axis=1), top, 1)
             open_[live] = np.take_along_axis(np.concatenate([open_[live], value > -9], axis=1), top, 1)
             worth[live] = np.take_along_axis(joined, top, 1)
-        # range expansion: neighbours of hits, for as long as hits are found
-        a, b = np.concatenate(hits_q), np.concatenate(hits_n)
-        while len(a):
-            found_q.append(a + i)
-            found_n.append(b)
-            near = graph[b]
-            from_, to = np.repeat(a, near.shape[1]), near.ravel()
-            ok = to >= 0
-            ok[ok] = ~seen[from_[ok], to[ok]]
-            pair = np.unique(from_[ok] * (n + 1) + to[ok])
-            from_, to = pair // (n + 1), pair % (n + 1)
-            seen[from_, to] = True
-            value = np.einsum("qd,qd->q", q[from_], x[to])
-            a, b = from_[value >= slack], to[value >= slack]
-    if not found_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = np.unique(np.concatenate(found_q) * (n + 1) + np.concatenate(found_n))
-    return pair // (n + 1), pair % (n + 1)
+    return np.concatenate([np.zeros(0, np.int64), *found_q]), np.concatenate([np.zeros(0, np.int64), *found_n])
+
+
+def regions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the smallest one that it is connected with by the edges a, b."""
+    label = np.arange(n)
+    while True:
+        low, old = np.minimum(label[a], label[b]), label.copy()
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+            np.minimum.at(label, end, low)
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
+def reach(linked: np.ndarray) -> np.ndarray:
+    """Of each node the first one that it is connected with, by a matrix of links."""
+    label = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if label[i] < 0:
+            at = np.array([i])
+            while len(at):
+                label[at] = i
+                at = np.flatnonzero(linked[at].any(axis=0) & (label < 0))
+    return label
+
+
+def columns_below(t: pa.Table, name: str, known: np.ndarray) -> np.ndarray:
+    """Rows x known shards: whether the list `name` of the row has the shard."""
+    column = t.column(name).combine_chunks()
+    flat, row = pc.list_flatten(column).to_numpy(zero_copy_only=False), pc.list_parent_indices(column).to_numpy()
+    out = np.zeros((t.num_rows, len(known)), bool)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        ok = known[at] == flat
+        out[row[ok], at[ok]] = True
+    return out
+
+
+def search_shard(t: pa.Table, threshold: float) -> pa.Table:
+    """FOUND of one shard (or of one part of its other queries: see links)."""
+    member = t.column("member").to_numpy(zero_copy_only=False).astype(bool)
+    if not member.any():
+        return pa.table({c: pa.array([], pa.int64()) for c in ("a", "n", "w", "b")})
+    t = t.take(pa.array(np.argsort(~member, kind="stable")))  # members first
+    x, ids, weight, first_part = matrix(t.column("v")), t.column("node").to_numpy(), t.column("weight").to_numpy(), t.column("part")[0].as_py() == 0
+    m = int(member.sum())
+    inside, near = x[:m], t.column("near").slice(0, m).combine_chunks()
+    # edges between members
+    order = np.argsort(ids[:m])
+    to, from_ = pc.list_flatten(near).to_numpy(zero_copy_only=False), pc.list_parent_indices(near).to_numpy().astype(np.int64)
+    at = order[np.minimum(np.searchsorted(ids[:m][order], to), m - 1)]
+    from_, to = from_[ids[at] == to], at[ids[at] == to]
+    counts = np.bincount(from_, minlength=m)
+    graph = np.full((m, max(1, int(counts.max()))), -1)
+    graph[from_, np.arange(len(from_)) - np.repeat(np.cumsum(counts) - counts, counts)] = to
+    medoid = int((inside @ inside.mean(axis=0)).argmax())
+    asked = np.arange(0 if first_part else m, len(x))
+    q, hit = beam_search(inside, graph, entries(graph, medoid), x[asked], threshold, np.where(asked < m, asked, -1))
+    q = asked[q]
+    # range expansion: members connected by edges or by what was found are compared with all of their region, exactly
+    close = np.concatenate([np.einsum("nd,nd->n", inside[from_[i : i + 50000]], inside[to[i : i + 50000]]) >= threshold - SLACK for i in range(0, len(to), 50000)] or [np.zeros(0, bool)])
+    region = regions(m, np.concatenate([from_[close], q[q < m]]), np.concatenate([to[close], hit[q < m]]))
+    by_region = np.argsort(region, kind="stable")
+    begin = np.flatnonzero(np.diff(region[by_region], prepend=-1))
+    # other queries of each region
+    other = np.unique(region[hit[q >= m]] * len(x) + q[q >= m])
+    other_begin = np.searchsorted(other, region[by_region[begin]] * len(x))
+    other_end = np.searchsorted(other, (region[by_region[begin]] + 1) * len(x))
+    # a pair that several shards can see is counted in the smallest of them
+    lists = [pc.list_flatten(t.column(c).combine_chunks()).to_numpy(zero_copy_only=False) for c in ("placed", "homes")]
+    known = np.unique(np.concatenate(lists))
+    known = known[known < t.column("shard")[0].as_py()]
+    placed, homes = columns_below(t, "placed", known), columns_below(t, "homes", known)
+
+    def elsewhere(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        use = np.flatnonzero(placed[a].any(axis=0) & placed[b].any(axis=0))
+        pa_, ha, pb, hb = (y[np.ix_(r, use)].astype(np.float32) for y, r in ((placed, a), (homes, a), (placed, b), (homes, b)))
+        return pa_ @ hb.T + ha @ pb.T > 0
+
+    n, w, edges = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), []
+    for lo, hi, q_lo, q_hi in zip(begin, [*begin[1:], m], other_begin, other_end):
+        own = by_region[lo:hi]
+        if len(own) < 2 and q_lo == q_hi:
+            continue
+        linked = np.zeros((len(own), len(own)), bool)
+        for i in range(0, len(own), 512):
+            linked[i : i + 512] = inside[own[i : i + 512]] @ inside[own].T >= threshold
+        linked = np.triu(linked, 1)
+        linked |= linked.T
+        root = own[reach(linked)]
+        if first_part:
+            for i in range(0, len(own), 512):
+                counted = linked[i : i + 512] & ~elsewhere(own[i : i + 512], own)
+                n[own[i : i + 512]] += counted.sum(axis=1)
+                w[own[i : i + 512]] += counted @ weight[own]
+            edges.append(np.stack([own, root], 1)[own != root])
+        for i in range(q_lo, q_hi, 512):
+            asks = other[i : min(i + 512, q_hi)] % len(x)
+            linked = x[asks] @ inside[own].T >= threshold
+            counted = linked & ~elsewhere(asks, own)
+            n[asks] += counted.sum(axis=1)
+            w[asks] += counted @ weight[own]
+            n[own] += counted.sum(axis=0)
+            w[own] += weight[asks] @ counted
+            a, b = np.nonzero(linked)
+            edges.append(np.unique(np.stack([asks[a], root[b]], 1), axis=0))
+    a, b = np.concatenate([np.zeros((0, 2), np.int64), *edges]).T
+    some, none = np.flatnonzero(n), np.zeros(len(a), np.int64)
+    return pa.table({"a": np.concatenate([ids[some], ids[a]]), "n": np.concatenate([n[some], none]), "w": np.concatenate([w[some], none]), "b": np.concatenate([ids[some], ids[b]])})
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -206,6 +310,8 @@ def by_length(b: pa.RecordBatch):
 
 
 PLACED = "shard long, member boolean, node long, v array<double>"
+#: links of a that are counted here (nodes, and their weights); b: a node that a is connected with, or a itself
+FOUND = "a long, n long, w long, b long"
 
 
 def split_shards(placed: DataFrame, staged: Staged, shard_rows: int, sample_rows: int, seed: int) -> DataFrame | None:
@@ -245,7 +351,8 @@ def split_shards(placed: DataFrame, staged: Staged, shard_rows: int, sample_rows
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = 1500, overlap: int = 3, probes: int = 4, sample_rows: int = 20000, model_bytes: int = 32 << 20, degree: int = 24, alpha: float = 1.2, staged: Staged | None = None):
-    """Rows, first rows and links (a < b) of the vectors of a table: see nodes_of."""
+    """Rows and first rows of the vectors of a table (see nodes_of); links of each node that has some (d_node; n: nodes, linked:
+    their weights); edges (a, b) that connect what links connect, a few for each node."""
     spark = vectors.sparkSession
     staged = staged or Staged(spark, "vectors")
     rows, nodes = nodes_of(vectors, staged)
@@ -297,45 +404,25 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = 15
     lists = placed.where("member").groupBy("shard").applyInArrow(build, "node long, near array<long>")
     graph = staged.write(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).withColumnRenamed("node", "g_node"), "graph")
 
-    def search(t: pa.Table) -> pa.Table:
-        member = t.column("member").to_numpy(zero_copy_only=False).astype(bool)
-        x, ids = matrix(t.column("v")), t.column("node").to_numpy()
-        inside, near = x[member], t.column("near").to_pylist()
-        if not member.any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        place = {int(n): i for i, n in enumerate(ids[member])}
-        edges = [[place[n] for n in (near[i] or ()) if n in place] for i in np.flatnonzero(member)]
-        g = np.full((len(edges), max(1, max(map(len, edges)))), -1)
-        for i, e in enumerate(edges):
-            g[i, : len(e)] = e
-        medoid = int((inside @ inside.mean(axis=0)).argmax())
-        own = np.full(len(x), -1)
-        own[member] = np.arange(len(inside))
-        q, n = beam_search(inside, g, entries(g, medoid), x, threshold, own)
-        a, b = ids[q], ids[member][n]
-        cosine = np.einsum("nd,nd->n", x[q], inside[n])
-        ok = (a != b) & (cosine >= threshold)
-        return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
-
-    searched = placed.join(graph.hint("merge"), F.col("node") == F.col("g_node"), "left").select("shard", "member", "node", "v", "near")
-    found = staged.write(searched.groupBy("shard").applyInArrow(search, "a long, b long"), "found")
-    pairs = staged.write(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    return rows, staged.spark.read.parquet(f"{staged.root}/firsts"), pairs, staged
-
-
-def ends(pairs: DataFrame) -> DataFrame:
-    """Each pair from both of its ends."""
-    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # where else a node is; the queries of a shard that are no members are dealt out in parts, each with all members
+    size = F.count_if(~F.col("member"))
+    parts = staged.write(placed.groupBy(F.col("shard").alias("p_shard")).agg(F.ceil(size / (3 * shard_rows)).cast("int").alias("parts")).where("parts > 1"), "parts")
+    where = placed.groupBy(F.col("node").alias("w_node")).agg(F.collect_list("shard").alias("placed"), F.collect_list(F.when(F.col("member"), F.col("shard"))).alias("homes"))
+    weights = staged.spark.read.parquet(f"{staged.root}/firsts").select(F.col("node").alias("f_node"), "weight")
+    where = where.join(weights.hint("merge"), F.col("w_node") == F.col("f_node")).join(graph.hint("merge"), F.col("w_node") == F.col("g_node"), "left")
+    near = F.when(F.col("member"), F.coalesce("near", F.array().cast("array<long>")))
+    searched = placed.join(where.hint("merge"), F.col("node") == F.col("w_node")).select("shard", "member", "node", "v", "weight", "placed", "homes", near.alias("near"))
+    dealt = F.when(F.col("member"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")))
+    searched = searched.join(parts.hint("merge"), F.col("shard") == F.col("p_shard"), "left").withColumn("part", F.explode(dealt)).drop("parts", "p_shard")
+    found = staged.write(searched.groupBy("shard", "part").applyInArrow(lambda t: search_shard(t, threshold), FOUND), "found")
+    counts = found.groupBy(F.col("a").alias("d_node")).agg(F.sum("n").alias("n"), F.sum("w").alias("linked"))
+    return rows, staged.spark.read.parquet(f"{staged.root}/firsts"), counts, found.where("a <> b").select("a", "b"), staged
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
     """vec_id, n_links (other rows linked directly), component_id, kept for each row of vectors."""
-    rows, firsts, pairs, staged = links(vectors, threshold, **settings)
-    # a pair counts one; nodes that stand for several rows count the others besides
-    heavy = firsts.where("weight > 1").select(F.col("node").alias("w_node"), (F.col("weight") - 1).alias("more"))
-    besides = ends(pairs).join(heavy.hint("merge"), F.col("b") == F.col("w_node")).select("a", F.col("more").alias("n"))
-    direct = ends(pairs).select("a", F.lit(1).cast("long").alias("n")).unionByName(besides).groupBy(F.col("a").alias("d_node")).agg(F.sum("n").alias("linked"))
-    labels = components(pairs, staged)
+    rows, firsts, direct, edges, staged = links(vectors, threshold, **settings)
+    labels = components(edges, staged)
     known = firsts.join(labels.select(F.col("node").alias("l_node"), "label").hint("merge"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
     least = known.groupBy(F.col("label").alias("m_label")).agg(F.min("node_id").alias("component"))
     known = known.join(least.hint("merge"), F.col("label") == F.col("m_label")).join(direct.hint("merge"), F.col("node") == F.col("d_node"), "left")
@@ -348,10 +435,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -
 
 def audit(vectors: DataFrame, threshold: float = THRESHOLD, **settings) -> tuple[int, int]:
     """Links found and links there are, of the queries whose id is divisible by 20, by brute force in blocks."""
-    rows, firsts, pairs, staged = links(vectors, threshold, **settings)
+    rows, firsts, counts, edges, staged = links(vectors, threshold, **settings)
     nodes = staged.spark.read.parquet(f"{staged.root}/nodes")
     asked = firsts.where("node_id % 20 = 0").select(F.col("node").alias("a"))
-    found = ends(pairs).join(asked, "a").count()
+    found = counts.join(asked, F.col("d_node") == F.col("a")).agg(F.sum("n")).first()[0] or 0
     queries = nodes.join(asked, F.col("node") == F.col("a")).select("node", "v")
     there = 0
     for dim, n in [(r["dim"], r["count"]) for r in queries.groupBy(F.size("v").alias("dim")).count().collect()]:

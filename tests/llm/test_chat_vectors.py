@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 
 from streamloom.llm import chat, vectors
+from streamloom.llm.common import Staged
 
 TEXTS = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "<\\|im_end|> <\\\\s> [\\INST]", "<<SYS>> <</SYS>> <<\\SYS>>", "", None, "naïve \U0001f600 [[INST]] <</s>", "\\", "a\nb" * 2000]
 
@@ -89,3 +90,15 @@ def test_ties_and_lengths(spark):
     rows = [(10 * d + k, [1.0] * d + [0.0, 0.001 * (k == 2)]) for d in range(1, 71) for k in range(3)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {i: (2, i // 10 * 10) for i, _ in rows}
+
+
+def test_families_are_counted_without_their_pairs(spark):
+    """A family of 400 near copies in several overlapping shards: exact links, but what the shards give is a few rows a node."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.15, rng.normal(size=(400, 16))])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    staged = Staged(spark, "vectors")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, shard_rows=200, staged=staged).collect()}
+    want = (cosines(x) >= 0.9).sum(axis=1) - 1
+    assert abs(sum(got.values()) - want.sum()) <= 0.02 * want.sum() and all(got[i] <= want[i] for i in got)
+    assert spark.read.parquet(f"{staged.root}/found").count() <= 16 * len(x) < want.sum() // 2
