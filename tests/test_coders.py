@@ -94,3 +94,34 @@ def test_queries_on_blocks_do_not_code_one_by_one(name, monkeypatch):
     monkeypatch.setitem(blocks.TRANSFORMS, name, (refuse, refuse))
     data = [f"nickel {i:04d} copper {i * i:08d}".encode() for i in range(64)]
     assert blocks.undo_many(blocks.chain_many(data, [name]), [name]) == data
+
+
+def test_brute_force_codes_blocks_together(monkeypatch):
+    """The smallest results are those of every graph by itself; coders see all blocks of a batch at once."""
+    data = [b'{"k": %d}' % i for i in range(40)] + [b"", b"ab" * 50, b"\1\0\0\0" * 9]
+    want = []
+    for x in data:
+        made = []
+        for name, graph in graphs.TRIED.items():
+            try:
+                made.append((len(y := graphs.encode(x, graph)), len(made), name, y))
+            except ValueError:
+                continue
+        want.append(min(made)[2:])
+    monkeypatch.setitem(graphs.PLAIN, "fse", None)
+    graphs.node.cache_clear()
+    try:
+        assert graphs.smallest(data, graphs.TRIED) == want
+    finally:
+        graphs.node.cache_clear()
+
+
+def test_brute_force_encodes_equal_blocks_once(monkeypatch):
+    seen = []
+    monkeypatch.setitem(graphs.PLAIN, "store", graphs.Node("store", lambda x: (seen.append(x), x)[1], bytes))
+    graphs.node.cache_clear()
+    try:
+        assert graphs.chosen([b"%d" % (i % 5) for i in range(1000)], {"store": ("store",)}) == [("store", 1, 1, True)] * 1000
+    finally:
+        graphs.node.cache_clear()
+    assert sorted(seen) == [b"%d" % i for i in range(5)]
