@@ -131,11 +131,11 @@ def entries(graph: np.ndarray, medoid: int) -> np.ndarray:
     return np.array([medoid, *kept])
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray | None = None, beam: int = 32, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, node) pairs within the threshold that the beam meets: the surroundings of each query, which `regions` complete.
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float, region: np.ndarray, own: np.ndarray | None = None, beam: int = 32, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, region) pairs: the regions of nodes (see `regions`) in which the beam meets a node within the threshold.
     graph: node x degree, -1 where there is no edge; starts: nodes that every query starts from; own: of each query the node
     that it is, or -1. The walk is in single precision, with a slack; what it finds is verified later."""
-    found_q, found_n = [], []
+    found = [np.zeros(0, np.int64)]
     n = len(x)
     x, slack = x.astype(np.float32), threshold - SLACK
     width = beam + len(starts)
@@ -158,8 +158,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: n
         worth[:, :k] = np.where(is_node, np.einsum("qd,qkd->qk", q, x[np.minimum(first, n - 1)]), -9)
         open_[:, :k] = is_node
         a, b = np.nonzero(is_node & (worth[:, :k] >= slack))
-        found_q.append(a + i)
-        found_n.append(first[a, b])
+        hits = [a * n + region[first[a, b]]]
         while open_.any():
             best = np.where(open_, worth, -99).argmax(axis=1)
             live = np.flatnonzero(open_[rows, best])
@@ -177,14 +176,15 @@ def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: n
             value = np.full(near.shape, -9, np.float32)
             value[a, b] = np.einsum("nd,nd->n", q[live[a]], x[near[a, b]])
             a, b = np.nonzero(value >= slack)
-            found_q.append(live[a] + i)
-            found_n.append(near[a, b])
+            hits.append(live[a] * n + region[near[a, b]])
             joined = np.concatenate([worth[live], value], axis=1)
             top = np.argpartition(-joined, worth.shape[1] - 1, axis=1)[:, : worth.shape[1]]
             pool[live] = np.take_along_axis(np.concatenate([pool[live], near], axis=1), top, 1)
             open_[live] = np.take_along_axis(np.concatenate([open_[live], value > -9], axis=1), top, 1)
             worth[live] = np.take_along_axis(joined, top, 1)
-    return np.concatenate([np.zeros(0, np.int64), *found_q]), np.concatenate([np.zeros(0, np.int64), *found_n])
+        # a family gives each query one region, not all its members
+        found.append(np.unique(np.concatenate(hits)) + i * n)
+    return np.divmod(np.concatenate(found), n)
 
 
 def regions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,13 +241,14 @@ def search_shard(t: pa.Table, threshold: float) -> pa.Table:
     counts = np.bincount(from_, minlength=m)
     graph = np.full((m, max(1, int(counts.max()))), -1)
     graph[from_, np.arange(len(from_)) - np.repeat(np.cumsum(counts) - counts, counts)] = to
+    # range expansion: members connected by edges or by what was found are compared with all of their region, exactly
+    close = np.concatenate([np.einsum("nd,nd->n", inside[from_[i : i + 20000]], inside[to[i : i + 20000]]) >= threshold - SLACK for i in range(0, len(to), 20000)] or [np.zeros(0, bool)])
+    region = regions(m, from_[close], to[close])
     medoid = int((inside @ inside.mean(axis=0)).argmax())
     asked = np.arange(0 if first_part else m, len(x))
-    q, hit = beam_search(inside, graph, entries(graph, medoid), x[asked], threshold, np.where(asked < m, asked, -1))
+    q, hit = beam_search(inside, graph, entries(graph, medoid), x[asked], threshold, region, np.where(asked < m, asked, -1))
     q = asked[q]
-    # range expansion: members connected by edges or by what was found are compared with all of their region, exactly
-    close = np.concatenate([np.einsum("nd,nd->n", inside[from_[i : i + 50000]], inside[to[i : i + 50000]]) >= threshold - SLACK for i in range(0, len(to), 50000)] or [np.zeros(0, bool)])
-    region = regions(m, np.concatenate([from_[close], q[q < m]]), np.concatenate([to[close], hit[q < m]]))
+    region = regions(m, np.concatenate([np.arange(m), q[q < m]]), np.concatenate([region, hit[q < m]]))
     by_region = np.argsort(region, kind="stable")
     begin = np.flatnonzero(np.diff(region[by_region], prepend=-1))
     # other queries of each region

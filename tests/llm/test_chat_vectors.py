@@ -102,3 +102,13 @@ def test_families_are_counted_without_their_pairs(spark):
     want = (cosines(x) >= 0.9).sum(axis=1) - 1
     assert abs(sum(got.values()) - want.sum()) <= 0.02 * want.sum() and all(got[i] <= want[i] for i in got)
     assert spark.read.parquet(f"{staged.root}/found").count() <= 16 * len(x) < want.sum() // 2
+
+
+def test_a_query_gets_one_region_of_a_family():
+    """A family of 500 is one find of each query, however many of its members the beam meets."""
+    rng = np.random.default_rng(3)
+    x = vectors.unit(np.concatenate([rng.normal(size=8) + rng.normal(size=(500, 8)) * 0.02, rng.normal(size=(20, 8))]))
+    graph = vectors.neighbours(x, 40)
+    region = vectors.regions(len(x), np.repeat(np.arange(500), 40), graph[:500].ravel())
+    q, hit = vectors.beam_search(x, graph, np.array([0]), x, 0.9, region, np.arange(len(x)))
+    assert len(q) < 3 * len(x) and set(hit[q < 500].tolist()) >= {0}
