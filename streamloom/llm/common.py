@@ -43,11 +43,19 @@ def id_or_null(col: str):
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+ROW_GROUP = 16 << 20
+
+
 class Staged:
-    """Tables written to the shared folder, which cut lineage: a lost executor costs a reread, not a recomputation."""
+    """Tables written to the shared folder, which cut lineage: a lost executor costs a reread, not a recomputation.
+
+    few: neighbouring partitions go to one task and file, two tasks a core at least and one for 8 partitions of the session's
+    shuffle width. For each file in a local folder, Hadoop launches chmod three times, and each launch shows the executor's
+    memory a second time until the new program has started."""
 
-    def __init__(self, spark: SparkSession, tag: str):
+    def __init__(self, spark: SparkSession, tag: str, few: bool = False):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        self.files = max(2 * spark.sparkContext.defaultParallelism, width(spark, 0, 1) // 8) if few else 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -56,7 +64,10 @@ class Staged:
         was = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            writer = (df.coalesce(self.files) if self.files else df).write.option("compression", "zstd")
+            if self.files:  # larger files in row groups as small as the files were, for the memory of writers and the splits of reads
+                writer = writer.option("parquet.block.size", ROW_GROUP)
+            writer.parquet(path)
         finally:
             self.spark.conf.unset(key) if was is None else self.spark.conf.set(key, was)
         return self.spark.read.schema(df.schema).parquet(path)

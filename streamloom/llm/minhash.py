@@ -302,10 +302,11 @@ def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32)
     return staged.write(components(links, staged, "cc-last"), "labels")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: id (NO_ID for null), h1, h2, rid (its number), component_id (smallest id of its group), kept (one of each group)."""
+def near_duplicates(docs: DataFrame, few: bool = False) -> DataFrame:
+    """One row per row of docs: id (NO_ID for null), h1, h2, rid (its number), component_id (smallest id of its group), kept (one of each group).
+    few: see Staged."""
     spark = docs.sparkSession
-    staged = Staged(spark, "minhash")
+    staged = Staged(spark, "minhash", few)
     rows = docs.select(id_order().alias("id"), text_or_empty().alias("text"))
     signed = staged.write(signature_rows(rows).withColumn("rid", F.monotonically_increasing_id()), "signed")
     # equal texts are one class, represented by its first row
@@ -331,9 +332,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("id", "h1", "h2", "rid", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("head_rid", "rid") == F.col("rid")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, few: bool = False) -> DataFrame:
     """The rows of docs that stay: one of each group (and one of rows that repeat a document)."""
-    judged = near_duplicates(docs).where("kept").select(F.col("id").alias("k_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct()
+    judged = near_duplicates(docs, few).where("kept").select(F.col("id").alias("k_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct()
     text = text_or_empty()
     # the row travels as one column, so that no name of it can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_order().alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(5)).alias("h2"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from streamloom.llm import language, minhash
 from streamloom.llm.common import Staged
 
@@ -81,6 +82,26 @@ def test_run(spark):
         assert [o for o, _ in parts] == np.cumsum([0, *(n for _, n in parts[:-1])]).tolist() and sum(n for _, n in parts) <= 4096
 
 
+def test_few_files(messy, spark, monkeypatch):
+    """The tables of the dedup stages are whole and have few files, however many partitions were dealt out."""
+    found, write = {}, Staged.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        found[self.root, name] = len(out.inputFiles())
+        return out
+
+    most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    staged = Staged(spark, "test", few=True)
+    out = staged.write(spark.range(1000).repartition(50).withColumn("n", F.monotonically_increasing_id()), "many")
+    assert len(out.inputFiles()) == most and {r["id"] for r in out.collect()} == set(range(1000)) and out.select("n").distinct().count() == 1000
+    monkeypatch.setattr(Staged, "write", watched)
+    docs = messy.repartition(3 * most)
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    suffix = corpus_pipeline.suffix_array_dedup(spark, docs, "")
+    assert near.count() and suffix.count() and found and max(found.values()) <= most
+
+
 def test_similarity_by_counting():
     """The module's own similarity beside one written out here."""
     words = lambda t: t.split()
