@@ -43,19 +43,22 @@ def id_or_null(col: str):
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
-ROW_GROUP = 16 << 20
+ROW_GROUP, TASK_BYTES = 16 << 20, 128 << 20
 
 
 class Staged:
     """Tables written to the shared folder, which cut lineage: a lost executor costs a reread, not a recomputation.
 
-    few: neighbouring partitions go to one task and file, two tasks a core at least and one for 8 partitions of the session's
-    shuffle width. For each file in a local folder, Hadoop launches chmod three times, and each launch shows the executor's
-    memory a second time until the new program has started."""
+    few: the input of the operator. Neighbouring partitions go to one task and file; there are two a core at least, one for
+    8 partitions of the session's shuffle width and one for TASK_BYTES of the input. For each file in a local folder, Hadoop
+    launches chmod three times, and each launch shows the executor's memory a second time until the new program has started."""
 
-    def __init__(self, spark: SparkSession, tag: str, few: bool = False):
+    def __init__(self, spark: SparkSession, tag: str, few: DataFrame | None = None):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-        self.files = max(2 * spark.sparkContext.defaultParallelism, width(spark, 0, 1) // 8) if few else 0
+        self.files = 0
+        if few is not None:
+            size = int(str(few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as planned; far too much after joins
+            self.files = max(2 * spark.sparkContext.defaultParallelism, width(spark, 0, 1) // 8, min(size // TASK_BYTES, 1 << 20))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

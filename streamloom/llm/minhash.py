@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, few: bool = False) -> DataFrame:
     """One row per row of docs: id (NO_ID for null), h1, h2, rid (its number), component_id (smallest id of its group), kept (one of each group).
     few: see Staged."""
     spark = docs.sparkSession
-    staged = Staged(spark, "minhash", few)
+    staged = Staged(spark, "minhash", docs if few else None)
     rows = docs.select(id_order().alias("id"), text_or_empty().alias("text"))
     signed = staged.write(signature_rows(rows).withColumn("rid", F.monotonically_increasing_id()), "signed")
     # equal texts are one class, represented by its first row

@@ -27,7 +27,7 @@ LENGTH, SAMPLE = 100, 20
 def suffix_dedup(docs: DataFrame, keep: tuple[str, ...] = (), decode: bool = False, few: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs: start, length), kept (the bytes that stay; with decode the
     characters that stay whole), and the columns of keep. few: see Staged."""
-    staged = Staged(docs.sparkSession, "suffixes", few)
+    staged = Staged(docs.sparkSession, "suffixes", docs if few else None)
     rows = keyed(docs, keep)
     repeats = repeated_windows(rows.select("id", "text"), Kind("bytes", LENGTH, SAMPLE), True, staged)
 

@@ -92,14 +92,20 @@ def test_few_files(messy, spark, monkeypatch):
         return out
 
     most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    staged = Staged(spark, "test", few=True)
+    assert Staged(spark, "test", few=spark.range(10**9)).files == 8 * 10**9 // (128 << 20)  # large inputs: by their bytes
+    staged = Staged(spark, "test", few=spark.range(1000))
     out = staged.write(spark.range(1000).repartition(50).withColumn("n", F.monotonically_increasing_id()), "many")
     assert len(out.inputFiles()) == most and {r["id"] for r in out.collect()} == set(range(1000)) and out.select("n").distinct().count() == 1000
+    docs = Staged(spark, "test").write(messy.repartition(3 * most), "docs")
     monkeypatch.setattr(Staged, "write", watched)
-    docs = messy.repartition(3 * most)
-    near = corpus_pipeline.near_dedup(spark, docs, "")
-    suffix = corpus_pipeline.suffix_array_dedup(spark, docs, "")
-    assert near.count() and suffix.count() and found and max(found.values()) <= most
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a partition for each file
+    try:
+        assert docs.rdd.getNumPartitions() > most
+        near = corpus_pipeline.near_dedup(spark, docs, "")
+        suffix = corpus_pipeline.suffix_array_dedup(spark, docs, "")
+        assert near.count() and suffix.count() and found and max(found.values()) <= most
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_similarity_by_counting():
