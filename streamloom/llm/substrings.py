@@ -28,7 +28,7 @@ WINDOW, SEED = 13, 4
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space), spans (removed runs of words: start, length)."""
-    staged = Staged(docs.sparkSession, "substrings")
+    staged = Staged(docs.sparkSession, "substrings", docs)
     kind = Kind("words", WINDOW, SEED)
     rows = keyed(docs)
     repeats = repeated_windows(rows.select("id", "text"), kind, False, staged)

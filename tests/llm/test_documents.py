@@ -52,6 +52,27 @@ def test_substring_dedup(messy):
     assert got == expected_words(documents(messy))
 
 
+def test_substring_dedup_writes_few_files(messy, spark, monkeypatch):
+    """No staged table has a file for each partition of the input; the rows are those of the plain computation."""
+    found, write = {}, Staged.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        found[self.root, name] = len(out.inputFiles())
+        return out
+
+    most = 2 * spark.sparkContext.defaultParallelism
+    docs = Staged(spark, "test").write(messy.repartition(3 * most), "docs")
+    monkeypatch.setattr(Staged, "write", watched)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a partition for each file
+    try:
+        assert docs.rdd.getNumPartitions() > most
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(substrings.substring_dedup(docs)))
+        assert got == expected_words(documents(messy)) and found and max(found.values()) <= most
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 # -- suffix-array dedup --
 
 
