@@ -199,19 +199,21 @@ def batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(columns, kinds)], names=list(names))
 
 
-def judged(rows: DataFrame, within: bool, staged: Staged, tag: str) -> DataFrame:
-    """Of rows (core, content, id, lo, ...) those that are covered, and those that share a core with other contents (not covered)."""
+def judged(rows: DataFrame, within: bool, staged: Staged, tag: str, part: bool = False) -> DataFrame:
+    """Of rows (core, content, id, lo, ...) those that are covered, and those that share a core with other contents (not covered).
+    part: see Staged.write_part."""
+    write = staged.write_part if part else staged.write
     cores = rows.groupBy(F.col("core").alias("c_core")).agg(F.count("*").alias("times"), (F.min("content") < F.max("content")).alias("mixed")).where("times > 1").drop("times")
-    cores = staged.write(cores, f"cores-{tag}")
-    shared = staged.write(rows.join(cores.hint("merge"), F.col("core") == F.col("c_core")).drop("c_core"), f"shared-{tag}")
+    cores = write(cores, f"cores-{tag}")
+    shared = write(rows.join(cores.hint("merge"), F.col("core") == F.col("c_core")).drop("c_core"), f"shared-{tag}")
     staged.drop(f"cores-{tag}")
     # contents of several rows, and the first of them; all others are alone
     classes = shared.groupBy(F.col("core").alias("c_core"), F.col("content").alias("c_content")).agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    classes = staged.write(classes, f"classes-{tag}")
+    classes = write(classes, f"classes-{tag}")
     covered = F.struct("id", "lo") > F.col("first") if within else F.col("id") > F.col("first.id")
     out = shared.join(classes.hint("merge"), (F.col("core") == F.col("c_core")) & (F.col("content") == F.col("c_content")), "left")
     out = out.withColumn("covered", F.coalesce(covered, F.lit(False))).where("covered OR mixed").drop("c_core", "c_content", "core", "content", "first", "mixed")
-    out = staged.write(out, f"judged-{tag}")
+    out = write(out, f"judged-{tag}")
     staged.drop(f"classes-{tag}")
     staged.drop(f"shared-{tag}")
     return out
@@ -282,17 +284,17 @@ def repeated_windows(docs: DataFrame, kind: Kind, within: bool, staged: Staged)
     size = kind.window - kind.gram + 1
     while size > 1:
         before, size = size, -(-size // 3)
-        rows = staged.write(parts(contexts, kind, size), f"parts-{size}")
-        now = judged(rows, within, staged, f"step-{size}")
+        rows = staged.write_part(parts(contexts, kind, size), f"parts-{size}")
+        now = judged(rows, within, staged, f"step-{size}", part=True)
         staged.drop(f"parts-{size}")
         found = found.unionByName(now.where("covered").select("id", "lo", "n"))
         if size == 1 or now.where("NOT covered").isEmpty():
             break
         left = now.where("NOT covered").groupBy(F.col("context").alias("l_context")).agg(F.collect_list(F.struct((F.col("o") - F.col("n") + 1).alias("f"), F.col("o").alias("l"))).alias("ranges"))
         kept = contexts.drop("ranges").join(left.hint("merge"), F.col("context") == F.col("l_context")).drop("l_context")
-        contexts = staged.write(kept, f"contexts-{size}")
+        contexts = staged.write_part(kept, f"contexts-{size}")
         staged.drop("contexts-0" if before == kind.window - kind.gram + 1 else f"contexts-{before}")
-    out = staged.write(found, "repeats")
+    out = staged.write_part(found, "repeats")
     return out
 
 

@@ -1,5 +1,6 @@
 """Each stage against a plain computation on its own input."""
 
+import os
 from collections import Counter
 
 import corpus_pipeline
@@ -108,6 +109,16 @@ def test_few_files(messy, spark, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_staged_tables_have_no_checksum_files(spark):
+    """Each file beside a table is one more start of chmod in an executor; a table that is a part has half as many files."""
+    staged = Staged(spark, "test", few=spark.range(1000))
+    for part in (False, True):
+        out = (staged.write_part if part else staged.write)(spark.range(1000).repartition(50), f"part-{part}")
+        assert sorted(r["id"] for r in out.collect()) == list(range(1000)) and len(out.inputFiles()) == (-(-staged.files // 2) if part else staged.files)
+        at = (staged.root + f"/part-{part}").removeprefix("file://").removeprefix("file:")
+        assert os.path.isdir(at) and not [x for x in os.listdir(at) if x.endswith(".crc")]
+
+
 def test_similarity_by_counting():
     """The module's own similarity beside one written out here."""
     words = lambda t: t.split()
