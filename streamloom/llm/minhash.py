@@ -295,6 +295,8 @@ def link(members: DataFrame, texts: DataFrame, staged: Staged, small: int = 32)
     kept = staged.write(labelled.join(several.select("s_g", "size").hint("merge"), F.col("g") == F.col("s_g")).select("g", "node", "label", "size"), "kept")
     for name in ("rest", "labelled"):
         staged.drop(name)
+    # the components so far stand for the links that made them
+    links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     links = links.unionByName(staged.write(settled(kept.where(F.col("size") <= small), texts).distinct(), "settled"))
     left = staged.write(kept.where(F.col("size") > small).select("node", "label").distinct(), "left")
     if not left.isEmpty():
@@ -343,7 +345,7 @@ def without_near_duplicates(docs: DataFrame, few: bool = False) -> DataFrame:
 
 
 def op10_minhash(spark, sf_dir):
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(table(spark, sf_dir, "documents"), few=True)
     return out.select(id_or_null("id").alias("doc_id"), id_or_null("component_id").alias("component_id"), "kept")
 
 

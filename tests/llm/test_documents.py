@@ -196,6 +196,52 @@ def test_links_within_a_family_of_templates(spark):
     assert Counter((i, got.get(i, i)) for i, _ in rows) == expected_groups(rows)
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Links that are stars already cost no round; others are those of a plain search, and no round confirms the last."""
+    found, write = [], Staged.write
+
+    def watched(self, df, name):
+        found.append(name)
+        return write(self, df, name)
+
+    monkeypatch.setattr(Staged, "write", watched)
+    star, path = [(9, 2), (5, 2), (4, 2), (8, 3), (3, 8)], [(i + 1, i) for i in range(20)]
+    for links, most in ((star, 1), (path, 7), (star + [(9, 8)], 3), ([(7, 7)], 1)):
+        found.clear()
+        got = {r["node"]: r["label"] for r in minhash.components(spark.createDataFrame(links, "a long, b long"), Staged(spark, "test")).collect()}
+        want = {n: n for link in links if link[0] != link[1] for n in link}
+        for _ in want:
+            for a, b in links:
+                if a != b:
+                    want[a] = want[b] = min(want[a], want[b])
+        assert got == want and len(found) <= most, found
+
+
+def test_minhash_writes_few_files(spark, tmp_path, monkeypatch):
+    """However many partitions a shuffle has, op10's tables have few files; the groups are those of brute force."""
+    found, write = [], Staged.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        found.append(len(out.inputFiles()))
+        return out
+
+    text = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(text if i % 3 else [*text[:50], f"x{i}", *text[51:]] if i % 2 else [f"y{i}-{j}" for j in range(9)])) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    monkeypatch.setattr(Staged, "write", watched)
+    most = 2 * spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 2 * most)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = Counter((r["doc_id"], r["component_id"]) for r in minhash.op10_minhash(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == expected_groups(rows) and found and max(found) <= most
+
+
 @pytest.mark.parametrize("block", [256, 7])
 def test_prefix_join_finds_what_brute_force_does(spark, block):
     """Truncations, edits and templates with common parts, in blocks that are dealt out: the same groups."""
