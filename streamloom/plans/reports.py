@@ -448,7 +448,7 @@ for _name in ["huffman", "delta_huffman", "store", "num8", "num64", "flatpack",
 
 @query("SELECT event_id AS id, octet_length(encode(props))::BIGINT AS n, true AS no_larger, true AS restored FROM events")
 def graph_brute_force(s, d):
-    return graphs.try_all(props_blocks(s, d)).select("id", "n", (F.col("size") <= F.col("n")).alias("no_larger"), "restored")
+    return graphs.try_all(props_blocks(s, d)).select("id", "n", (F.col("size") <= F.coalesce("n", F.lit(0))).alias("no_larger"), "restored")
 
 
 @query("SELECT doc_id AS id, true AS restored FROM documents")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from streamloom.functions import blocks, coders, graphs, lockstep, transforms
+from streamloom.plans import reports
 
 BLOCKS = [
     b"", b"a", b"ab", b"aaaa" * 300, bytes(range(256)), b"banana", b"the quick brown fox jumps over the lazy dog " * 20, "\u017elu\u0165ou\u010dk\u00fd k\u016f\u0148 \u65e5\u672c\u8a9e".encode() * 9,
@@ -116,6 +117,35 @@ def test_brute_force_codes_blocks_together(monkeypatch):
         graphs.node.cache_clear()
 
 
+def test_brute_force_tries_every_named_graph(spark):
+    """The sizes are the least over all named graphs, adaptive coders as well, on blocks of like lengths and on others."""
+    data = [f"copper {i * 7919} burnished almond {i} steel".encode() for i in range(20)] + [b"", b"\0", b"a" * 90, b"the small brown pot " + bytes(range(97, 123)) + b" stands under a small tree" * 3]
+    for x, row in zip(data, graphs.try_all(spark.createDataFrame([(i, 0, x) for i, x in enumerate(data)], "id long, chunk_id long, bytes binary")).orderBy("id").collect()):
+        sizes = {name: len(graphs.encode(x, g)) for name, g in graphs.GRAPHS.items() if name != "constant" or len(set(x)) == 1}
+        assert row["size"] == min(sizes.values()) and row["graph"] == min(sizes, key=sizes.get) and row["n"] == len(x) and row["restored"]
+        if x and len(set(x)) > 1:
+            assert row["graph"] in coders.MIXTURES
+
+
+def test_brute_force_of_null_blocks(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "ab")], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = reports.QUERIES["graph_brute_force"](spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, None, True, True), (2, 0, True, True), (3, 2, True, True)]
+
+
+def test_brute_force_decodes_adaptive_results_together(monkeypatch):
+    def refuse(x):
+        raise AssertionError("one by one")
+
+    monkeypatch.setitem(graphs.PLAIN, "cm", graphs.Node("cm", refuse, refuse))
+    graphs.node.cache_clear()
+    try:
+        data = [f"nickel {i:04d} nickel nickel {i * i:08d} nickel".encode() for i in range(64)]
+        assert {(name, same) for name, _, _, same in graphs.chosen(data, {"cm": ("cm",)})} == {("cm", True)}
+    finally:
+        graphs.node.cache_clear()
+
+
 def test_brute_force_encodes_equal_blocks_once(monkeypatch):
     seen = []
     monkeypatch.setitem(graphs.PLAIN, "store", graphs.Node("store", lambda x: (seen.append(x), x)[1], bytes))
